@@ -1,0 +1,5 @@
+"""Left empty on purpose.
+
+All inputs this toolkit covers are finite files, so there is no streaming
+source, stateful operator or late-data rule to express.
+"""
