@@ -5,10 +5,20 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from panelweave.catalog.base import Tables, query, r, sql_with
-from panelweave.catalog.standins import COUNTRY, PANEL, WIDE_EU, best_price_names, country_prices, panel, regional_wide, retail, RETAIL, SITES
+from panelweave.catalog.standins import (
+    ALLOCATED,
+    COUNTRY,
+    OUTAGES,
+    PANEL,
+    WIDE_EU,
+    best_price_names,
+    country_prices,
+    outages,
+    panel,
+    regional_wide,
+)
 from panelweave.operators import stats, windows
-from panelweave.operators.reshape import allocate_interval
-from panelweave.catalog.standins import ALLOCATED, OUTAGES, outages
+from panelweave.operators.reshape import allocate_interval, to_wide
 from panelweave.plans.gold import wide_features
 
 NAMES = list(best_price_names().values())
@@ -94,8 +104,6 @@ def _lag_sql() -> list[str]:
 
 def by_region(t: Tables):
     names = {"STANDARD": "standard", "ECONOMY": "economy", "LARGE": "large"}
-    from panelweave.operators.reshape import to_wide
-
     return to_wide(panel(t), ["region", "date"], "pc_type", "pc_price", names)
 
 

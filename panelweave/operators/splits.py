@@ -189,19 +189,19 @@ def weight_table(
     """(group, region, weight) from counts alone; the weights of all rows sum to the row count."""
     counts = df.groupBy(group, region).agg(F.count(F.lit(1)).alias("n"))
     per_group = counts.groupBy(group).agg(F.sum("n").alias("ng"))
-    total = per_group.agg(F.struct(F.sum("ng").alias("N"), F.count(F.lit(1)).alias("G")).alias("t")).scalar()
+    total = per_group.agg(F.struct(F.sum("ng").alias("rows"), F.count(F.lit(1)).alias("groups")).alias("t")).scalar()
     base = counts.join(per_group, group).withColumn("t", total)
     raw = {
         "inverse_frequency": F.lit(1.0) / F.col("ng"),
         "sqrt_inverse": F.lit(1.0) / F.sqrt("ng"),
-        "balanced": F.col("t.N") / (F.col("t.G") * F.col("ng")),
+        "balanced": F.col("t.rows") / (F.col("t.groups") * F.col("ng")),
     }
     if method not in raw:
         raise ValueError(f"invalid method: {method}; choose from {sorted(raw)}")
     boost = F.when(F.col(region) == target_region, F.lit(multiplier)).otherwise(F.lit(1.0))
-    weighted = base.select(group, region, "n", F.col("t.N").alias("N"), (raw[method] * boost).alias("w"))
+    weighted = base.select(group, region, "n", F.col("t.rows").alias("total"), (raw[method] * boost).alias("w"))
     mass = weighted.agg(F.sum(F.col("w") * F.col("n"))).scalar()
-    return weighted.select(group, region, (F.col("w") * F.col("N") / mass).alias("weight"))
+    return weighted.select(group, region, (F.col("w") * F.col("total") / mass).alias("weight"))
 
 
 def sample_weights(df: DataFrame, group: str, region: str, target_region: str, method="balanced", multiplier=fv.REGION_WEIGHT) -> DataFrame:

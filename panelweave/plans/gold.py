@@ -93,9 +93,9 @@ def _pivoted(base: DataFrame, cols: Sequence[str], features: Mapping[str, Column
     into one task; per series the work spreads over the series.
     """
     long = to_long(base, ["date"], cols, "series", "x")
-    shaped = long.select("date", "series", *[c.alias(n[2:]) for n, c in features.items()])
-    wide = shaped.groupBy("date").pivot("series", list(cols)).agg(*[F.first(n[2:]).alias(n[2:]) for n in features])
-    return wide if len(features) > 1 else wide.withColumnsRenamed({c: f"{c}_{n[2:]}" for c in cols for n in features})
+    shaped = long.select("date", "series", *[c.alias(n.removeprefix("x_")) for n, c in features.items()])
+    names = [n.removeprefix("x_") for n in features]
+    return shaped.groupBy("date").pivot("series", list(cols)).agg(*[F.first(n).alias(n) for n in names])
 
 
 def wide_features(

@@ -64,7 +64,7 @@ def read_csv(
     positional = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     raw = base.schema(positional).option("header", True).option("enforceSchema", True).option("multiLine", multiline).csv(path)
     kept = [(i, n) for i, n in enumerate(names) if n not in drop]
-    final = clean_header(n for _, n in kept) if clean else [n for _, n in kept]
+    final = dedupe_header(clean_header(n for _, n in kept)) if clean else [n for _, n in kept]
     return raw.select(*[F.col(f"c{i}").alias(n) for (i, _), n in zip(kept, final, strict=True)])
 
 
