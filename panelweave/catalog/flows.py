@@ -247,7 +247,8 @@ def long_sql(h: int) -> str:
 
 
 def long_flow(t: Tables, h: int):
-    base = attach_monthly(panel(t), exogenous(t))
+    # the panel is the boundary between raw and gold data: stored once, small from here on
+    base = attach_monthly(materialize(panel(t), "panel"), exogenous(t))
     return gold.long_features(cutoff_split(base, "date", CUTOFF)[0], h)
 
 

@@ -22,7 +22,7 @@ from panelweave.functions.calendar import add_calendar, month_start
 from panelweave.functions.columns import finite, strength_label, type_flags
 from panelweave.functions.units import converted_name, repair_unit, supplier_of, to_eur_kg, to_usd_kg, type_of
 from panelweave.operators import pricing
-from panelweave.operators.joins import compare_sources
+from panelweave.operators.joins import compare_sources, date_dimension
 from panelweave.operators.reshape import allocate_interval
 from panelweave.operators.splits import encode_labels
 from panelweave.operators.stats import pearson_pairs
@@ -106,7 +106,7 @@ def f08(t: Tables):
     best = usd_prices(t).groupBy("date", "supplier").agg(F.min("price").alias("price"))
     rates = three_rates(t)[2].withColumn("_one", F.lit(0))
     filled = rates.select(F.col("observation_date").alias("date"), fill_both("DEXUSEU", ["_one"], "observation_date").alias("rate"))
-    return best.join(filled, "date").select("date", "supplier", to_eur_kg(F.col("price"), F.col("rate")).alias("price_eur"))
+    return best.join(date_dimension(filled, "date"), "date").select("date", "supplier", to_eur_kg(F.col("price"), F.col("rate")).alias("price_eur"))
 
 
 # column names met in price files, attached to the order priorities

@@ -48,7 +48,14 @@ def m02(t: Tables):
 
 @query(
     "m03_split_by_series",
-    sql_with([SPARSE], f"SELECT CAST(NULL AS DATE) AS validation_date, {_one_date('country, priority', 'sparse', 20, 5, 'sparse')} AS test_date, true AS adaptive"),
+    sql_with(
+        [
+            SPARSE,
+            f"found AS (SELECT {_one_date('country, priority', 'sparse', 20, 5, 'sparse')} AS d)",
+            "spare AS (SELECT ds[CAST(floor(len(ds) * 0.8) AS BIGINT) + 1] AS d FROM (SELECT list(DISTINCT date ORDER BY date) AS ds FROM sparse) q)",
+        ],
+        "SELECT CAST(NULL AS DATE) AS validation_date, coalesce(found.d, spare.d) AS test_date, found.d IS NOT NULL AS adaptive FROM found, spare",
+    ),
 )
 def m03(t: Tables):
     return splits.split_dates(sparse_prices(t), "date", ["country", "priority"], None, 20, 5, fallback="first")

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.checks import unique_by
+from panelweave.operators.checks import require_date, unique_by
+from panelweave.session import materialize
 
 
 def join_checked(
@@ -42,6 +43,27 @@ def month_dimension(df: DataFrame, date: str) -> DataFrame:
     return F.broadcast(unique_by(df.filter(F.col(date) == F.trunc(date, "MM")), [date]))
 
 
+def date_dimension(df: DataFrame, date: str) -> DataFrame:
+    """One row per date, enforced, hinted for broadcast.
+
+    A century of days is 36,525 rows, the whole DATE range 3.7 million, so two
+    or three numbers per day stay far below a broadcast's limits.
+    """
+    require_date(df, date)
+    return F.broadcast(unique_by(df, [date]))
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a derived lookup table whose size is not known beforehand.
+
+    The lookup is stored first (runs a job), so the planner sees its true size:
+    below the broadcast threshold the big side is not shuffled at all and a key
+    with a third of all rows stays where it is; above it the join shuffles and
+    adaptive execution splits the hot partition.
+    """
+    return big.join(materialize(small, "lookup"), list(on), how)
+
+
 def attach_monthly(base: DataFrame, tables: Iterable[DataFrame], date: str = "date") -> DataFrame:
     """Left join monthly side tables to a panel or wide table, one row per month each."""
     return reduce(lambda df, side: df.join(month_dimension(side, date), date, "left"), tables, base)
@@ -68,7 +90,7 @@ def compare_sources(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, n
 def lookup_rate(df: DataFrame, rates: DataFrame, date: str, rate: str, replace: Column | None = None) -> DataFrame:
     """Take a rate from a date-keyed table; keep a usable own value where ``replace`` allows it."""
     looked = rates.select(F.col(date), F.col(rate).alias("_looked"))
-    out = df.join(looked, date, "left")
+    out = df.join(date_dimension(looked, date), date, "left")
     own = F.col("_looked") if replace is None else F.coalesce(replace, F.col("_looked"))
     return out.withColumn(rate, own).drop("_looked")
 

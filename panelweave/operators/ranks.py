@@ -4,18 +4,21 @@ A group is counted per distinct value, cut into value ranges by a mergeable
 sketch, and each range is ranked on its own with the row counts of the ranges
 below added in front. The cut points only balance the work: any cut gives the
 same exact ranks, so a group with a third of all rows is spread over its
-ranges instead of being sorted in one place.
+ranges instead of being sorted in one place. The join that hands the cut
+points to the values is salted for the same reason.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RANGES = 64
+SALTS = 16
 
 
 def ranked_values(
@@ -32,11 +35,14 @@ def ranked_values(
         F.percentile_approx(value, probs, F.lit(ranges * 16)).alias("_cuts"), F.sum("n").alias("total")
     )
     if keys:
-        cut = counts.join(cuts, list(keys), "inner")
+        salted = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+        copies = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        cut = salted.join(copies, [*keys, "_salt"], "inner").drop("_salt")
     else:
         one = cuts.select(F.struct("_cuts", "total").alias("c")).scalar()
         cut = counts.withColumn("_c", one).select(*counts.columns, "_c._cuts", "_c.total")
-    cut = cut.withColumn("_range", F.size(F.filter("_cuts", lambda b: b <= F.col(value)))).drop("_cuts")
+    passed = [F.when(F.get("_cuts", F.lit(i)) <= F.col(value), 1).otherwise(0) for i in range(ranges - 1)]
+    cut = cut.withColumn("_range", reduce(lambda a, b: a + b, passed)).drop("_cuts")
     before = W.partitionBy(*keys, F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from panelweave import fixed_values as fv
 from panelweave.functions.columns import finite
+from panelweave.operators.joins import lookup_join
 from panelweave.operators.windows import add_target, fill_both, fill_forward
+from panelweave.session import materialize
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
@@ -22,8 +24,10 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows with one code column per label column; stores each small code table (runs a job)."""
+    source = df
     for c in cols:
-        df = df.join(label_codes(df, c), c, "left")
+        df = lookup_join(df, label_codes(source, c), [c])
     return df
 
 
@@ -76,17 +80,16 @@ def split_dates(
 ) -> DataFrame:
     """One row (validation_date, test_date, adaptive).
 
-    Works on row counts per (group, date), never on the rows. ``targets`` are
+    Works on row counts per (group, date), never on the rows; the counts are
+    stored first (runs a job), as every step below reads them. ``targets`` are
     the group values that must be satisfied (default: all that occur). Without
     a valid date the ratio decides and ``adaptive`` is false: ``fallback`` is
     ``"last"`` (the last ``int(dates * ratio)`` dates, the first date when that
     is zero) or ``"first"`` (position ``int(dates * (1 - ratio))``).
     """
     is_target = F.lit(True) if targets is None else F.col(groups[0]).isin(list(targets))
-    counts = (
-        df.groupBy(*groups, F.col(date).alias("d"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("is_target", is_target)
+    counts = materialize(
+        df.groupBy(*groups, F.col(date).alias("d")).agg(F.count(F.lit(1)).alias("n")).withColumn("is_target", is_target), "counts"
     )
     if targets is None:
         n_groups = counts.agg(F.count_distinct(*[F.col(g) for g in groups])).scalar()
@@ -205,5 +208,5 @@ def weight_table(
 
 
 def sample_weights(df: DataFrame, group: str, region: str, target_region: str, method="balanced", multiplier=fv.REGION_WEIGHT) -> DataFrame:
-    """Rows with their weight (M5)."""
-    return df.join(weight_table(df, group, region, target_region, method, multiplier), [group, region], "left")
+    """Rows with their weight (M5); stores the small weight table (runs a job)."""
+    return lookup_join(df, weight_table(df, group, region, target_region, method, multiplier), [group, region])

@@ -46,11 +46,12 @@ def long_features(base: DataFrame, horizon: int, exogenous: Sequence[str] = fv.E
     """Training table of the long panel for one horizon.
 
     All series features share one window on (region, pc_type); the cross-series
-    features need a second one on (date, region). The key check folds into the
-    first aggregation and fails the job on a repeated key.
+    features need a second one on (date, region). The rows are partitioned by
+    series first, which serves the key check and the series window alike; the
+    check fails the job on a repeated key.
     """
     lags, windows = fv.HORIZON_LAGS[check_horizon(horizon)], fv.HORIZON_WINDOWS[horizon]
-    checked = unique_by(base, PANEL_KEYS)
+    checked = unique_by(base.repartition(*SERIES_KEYS), PANEL_KEYS)
     own: dict[str, Column] = {
         **lag_columns(["pc_price"], lags),
         **rolling_columns(["pc_price"], windows, std="last", label="rolling"),

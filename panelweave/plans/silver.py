@@ -11,7 +11,7 @@ from panelweave import fixed_values as fv
 from panelweave.functions.calendar import month_start
 from panelweave.functions.columns import parse_date, parse_date_or_null, parse_number
 from panelweave.functions.units import converted_name, repair_unit, to_eur_kg, to_usd_kg
-from panelweave.operators.joins import full_join_all, lookup_rate
+from panelweave.operators.joins import date_dimension, full_join_all, lookup_rate
 from panelweave.operators.profile import date_statistics
 from panelweave.operators.reshape import (
     allocate_interval,
@@ -84,7 +84,8 @@ def fill_rates(df: DataFrame, rates: DataFrame, date: str = "date") -> DataFrame
     )
     base = df.withColumn("_own", own).drop(fv.ASIA_RATE_RMB, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR)
     out = lookup_rate(base, looked.select(date, fv.ASIA_RATE_RMB), date, fv.ASIA_RATE_RMB, F.col("_own"))
-    out = out.drop("_own").join(looked.select(date, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR), date, "left").withColumn("_one", F.lit(0))
+    others = date_dimension(looked.select(date, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR), date)
+    out = out.drop("_own").join(others, date, "left").withColumn("_one", F.lit(0))
     names = (fv.ASIA_RATE_RMB, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR)
     return out.withColumns({n: fill_both(F.col(f"`{n}`"), ["_one"], date) for n in names}).drop("_one")
 
