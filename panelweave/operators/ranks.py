@@ -11,9 +11,8 @@ points to the values is salted for the same reason.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +20,14 @@ RANGES = 64
 SALTS = 16
 
 
+def _range_of(value: Column, lo: int, hi: int) -> Column:
+    """How many cut points a value has passed, as a balanced tree of comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.get("_cuts", F.lit(mid)) <= value, _range_of(value, mid + 1, hi)).otherwise(_range_of(value, lo, mid))
+
+
 def ranked_values(
     df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES, weight: str | None = None
 ) -> DataFrame:
@@ -39,10 +46,10 @@ def ranked_values(
         copies = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         cut = salted.join(copies, [*keys, "_salt"], "inner").drop("_salt")
     else:
-        one = cuts.select(F.struct("_cuts", "total").alias("c")).scalar()
-        cut = counts.withColumn("_c", one).select(*counts.columns, "_c._cuts", "_c.total")
-    passed = [F.when(F.get("_cuts", F.lit(i)) <= F.col(value), 1).otherwise(0) for i in range(ranges - 1)]
-    cut = cut.withColumn("_range", reduce(lambda a, b: a + b, passed)).drop("_cuts")
+        # one row of cut points for the whole table: a broadcast of 64 numbers
+        one = F.broadcast(cuts.withColumn("_salt", F.lit(0).cast("bigint")))
+        cut = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(1))).join(one, "_salt", "inner").drop("_salt")
+    cut = cut.withColumn("_range", _range_of(F.col(value), 0, ranges - 1)).drop("_cuts")
     before = W.partitionBy(*keys, F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
