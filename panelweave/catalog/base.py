@@ -22,16 +22,19 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Every double column rounded; the final 0.0 turns a negative zero positive."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`") + F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name)
+            F.expr(f"round(`{f.name}` + {NUDGE:e}D, {digits}) + 0.0D AS `{f.name}`")
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,12 +20,12 @@ RANGES = 64
 SALTS = 16
 
 
-def _range_of(value: Column, lo: int, hi: int) -> Column:
-    """How many cut points a value has passed, as a balanced tree of comparisons."""
+def _range_of(value: str, lo: int, hi: int) -> str:
+    """SQL for how many cut points a value has passed, as a balanced tree of comparisons."""
     if lo == hi:
-        return F.lit(lo)
+        return str(lo)
     mid = (lo + hi) // 2
-    return F.when(F.get("_cuts", F.lit(mid)) <= value, _range_of(value, mid + 1, hi)).otherwise(_range_of(value, lo, mid))
+    return f"IF(get(_cuts, {mid}) <= `{value}`, {_range_of(value, mid + 1, hi)}, {_range_of(value, lo, mid)})"
 
 
 def ranked_values(
@@ -49,7 +49,7 @@ def ranked_values(
         # one row of cut points for the whole table: a broadcast of 64 numbers
         one = F.broadcast(cuts.withColumn("_salt", F.lit(0).cast("bigint")))
         cut = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(1))).join(one, "_salt", "inner").drop("_salt")
-    cut = cut.withColumn("_range", _range_of(F.col(value), 0, ranges - 1)).drop("_cuts")
+    cut = cut.withColumn("_range", F.expr(_range_of(value, 0, ranges - 1))).drop("_cuts")
     before = W.partitionBy(*keys, F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))

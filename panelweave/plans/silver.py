@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from panelweave import fixed_values as fv
 from panelweave.functions.calendar import month_start
-from panelweave.functions.columns import parse_date, parse_date_or_null, parse_number
-from panelweave.functions.units import converted_name, repair_unit, to_eur_kg, to_usd_kg
+from panelweave.functions.columns import parse_date, parse_date_or_null, parse_number, row_min
+from panelweave.functions.units import repair_unit, standard_names, to_eur_kg, to_usd_kg
 from panelweave.operators.joins import date_dimension, full_join_all, lookup_rate
 from panelweave.operators.profile import date_statistics
 from panelweave.operators.reshape import (
@@ -19,7 +19,6 @@ from panelweave.operators.reshape import (
     grid_series,
     matrix_row_series,
     quarters_to_months,
-    to_long,
     to_wide,
 )
 from panelweave.operators.splits import non_empty_columns
@@ -72,8 +71,10 @@ def fill_rates(df: DataFrame, rates: DataFrame, date: str = "date") -> DataFrame
     """Complete the three exchange rates of a date-keyed table.
 
     A zero or missing RMB rate is looked up; the other two are always looked
-    up; what is still open is filled forward, then backward. The table has one
-    row per date, so the fill window is bounded by the calendar.
+    up; what is still open is filled forward, then backward. Only dates and
+    rates pass through the fill window, one row per date, which the calendar
+    bounds; the other columns stay where they are and meet the filled rates in
+    a broadcast join.
     """
     own = F.nullif(F.col(fv.ASIA_RATE_RMB), F.lit(0.0)) if fv.ASIA_RATE_RMB in df.columns else F.lit(None).cast("double")
     looked = rates.select(
@@ -82,32 +83,30 @@ def fill_rates(df: DataFrame, rates: DataFrame, date: str = "date") -> DataFrame
         F.col(fv.RATE_INR).alias(fv.ASIA_RATE_INR),
         F.col(fv.RATE_EUR).alias(fv.ASIA_RATE_EUR),
     )
-    base = df.withColumn("_own", own).drop(fv.ASIA_RATE_RMB, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR)
-    out = lookup_rate(base, looked.select(date, fv.ASIA_RATE_RMB), date, fv.ASIA_RATE_RMB, F.col("_own"))
+    slim = lookup_rate(df.select(date, own.alias("_own")), looked.select(date, fv.ASIA_RATE_RMB), date, fv.ASIA_RATE_RMB, F.col("_own"))
     others = date_dimension(looked.select(date, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR), date)
-    out = out.drop("_own").join(others, date, "left").withColumn("_one", F.lit(0))
+    open_rates = slim.drop("_own").join(others, date, "left").withColumn("_one", F.lit(0))
     names = (fv.ASIA_RATE_RMB, fv.ASIA_RATE_INR, fv.ASIA_RATE_EUR)
-    return out.withColumns({n: fill_both(F.col(f"`{n}`"), ["_one"], date) for n in names}).drop("_one")
+    filled = open_rates.select(date, *[fill_both(F.col(f"`{n}`"), ["_one"], date).alias(n) for n in names])
+    return df.drop(*names).join(date_dimension(filled, date), date, "left")
 
 
 def convert_prices(df: DataFrame, units: Mapping[str, str], date: str = "date") -> DataFrame:
-    """(date, name, price): every price column in USD per kilo under its standard name.
+    """Date and one USD-per-kilo column per standard name; rates are kept alongside.
 
-    Columns that share a standard name merge by minimum; unparseable columns drop out.
+    Units and names belong to the header, so each cell is converted in place
+    and columns that share a standard name merge by a row minimum: no unpivot,
+    no shuffle. Unparseable columns drop out.
     """
     cols = [c for c in df.columns if c in units]
-    rates = [fv.ASIA_RATE_RMB, fv.ASIA_RATE_INR]
-    long = to_long(df.select(date, *[F.col(f"`{c}`") for c in [*rates, *cols]]), [date, *rates], cols, "column", "price")
-    unit_of = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
-    unit: Column = F.element_at(unit_of, F.col("column"))
-    price = repair_unit(F.col("price"), unit)
-    usd = to_usd_kg(price, unit, F.col(f"`{fv.ASIA_RATE_RMB}`"), F.col(f"`{fv.ASIA_RATE_INR}`"))
-    return (
-        long.select(date, converted_name(F.col("column")).alias("name"), usd.alias("price"))
-        .filter(F.col("name").isNotNull())
-        .groupBy(date, "name")
-        .agg(F.min("price").alias("price"))
-    )
+    names = standard_names(df.sparkSession, cols)
+    rmb, inr = F.col(f"`{fv.ASIA_RATE_RMB}`"), F.col(f"`{fv.ASIA_RATE_INR}`")
+    cells: dict[str, list[Column]] = {}
+    for c in cols:
+        if names[c] is not None:
+            cells.setdefault(names[c], []).append(to_usd_kg(repair_unit(F.col(f"`{c}`"), units[c]), units[c], rmb, inr))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in units]
+    return df.select(*rest, *[row_min(parts).alias(n) for n, parts in sorted(cells.items())])
 
 
 def asia_prices(raw: DataFrame, rates: DataFrame, grouped: bool) -> DataFrame:
@@ -115,18 +114,15 @@ def asia_prices(raw: DataFrame, rates: DataFrame, grouped: bool) -> DataFrame:
     keep = fv.ASIA_REFERENCE_COLUMNS + fv.ASIA_SPREAD_COLUMNS
     numeric = [c for c in raw.columns if c in fv.ASIA_COLUMN_UNITS or c in keep or c == fv.ASIA_RATE_RMB]
     typed = raw.select(parse_date(F.col("date")).alias("date"), *[parse_number(F.col(f"`{c}`")).alias(c) for c in numeric])
-    filled = fill_rates(typed, rates)
-    usd = convert_prices(filled, fv.ASIA_COLUMN_UNITS)
-    groups = type_groups(fv.ASIA, grouped)
-    cells = [(name, best) for best, names in groups.items() for name in names]
-    kind = F.create_map(*[F.lit(x) for kv in cells for x in kv])
-    typed_price = usd.withColumn("best", F.element_at(kind, F.col("name"))).filter(F.col("best").isNotNull())
-    wide = to_wide(typed_price, ["date"], "best", "price", {b: b for b in groups}, agg=F.min)
-    extra = [c for c in filled.columns if c in keep]
-    kept = non_empty_columns(filled, extra) if extra else []
-    side = filled.select("date", *[F.col(f"`{c}`") for c in kept], F.col(f"`{fv.ASIA_RATE_EUR}`").alias("_eur"))
-    return side.join(wide, "date", "left").select(
-        "date", *[F.col(f"`{c}`") for c in kept], *[to_eur_kg(F.col(b), F.col("_eur")).alias(b) for b in groups]
+    extra = [c for c in numeric if c in keep]
+    kept = non_empty_columns(typed, extra) if extra else []
+    usd = convert_prices(fill_rates(typed, rates), fv.ASIA_COLUMN_UNITS)
+    groups = {best: [c for c in cols if c in usd.columns] for best, cols in type_groups(fv.ASIA, grouped).items()}
+    rate = F.col(f"`{fv.ASIA_RATE_EUR}`")
+    return usd.select(
+        "date",
+        *[F.col(f"`{c}`") for c in kept],
+        *[to_eur_kg(row_min(cols), rate).alias(best) for best, cols in groups.items() if cols],
     )
 
 
