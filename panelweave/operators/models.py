@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -211,6 +211,12 @@ def _folds(n: int, desired: int) -> list[tuple[int, int]]:
     return [(n - (k - i) * size, n - (k - i - 1) * size) for i in range(k)]
 
 
+def _line(model) -> Column:
+    """Prediction from the array column ``x``; a lasso leaves most coefficients at zero."""
+    terms = [f"get(x, {i}) * {float(b):.17e}D" for i, b in enumerate(model.coefficients) if b != 0]
+    return F.expr(" + ".join([f"{float(model.intercept):.17e}D", *terms]))
+
+
 def fit_lasso(
     df: DataFrame, cols: Sequence[str], order: str = "date", label: str = "target", n_alphas: int = 100, desired_splits: int = 5,
     max_iter: int = 10000, tol: float = 1e-3, threads: int = 4,
@@ -250,14 +256,7 @@ def fit_lasso(
         with ThreadPool(threads) as pool:
             models = pool.map(lambda a, part=fold: base.copy({base.regParam: a}).fit(part), alphas)
         test = rows.filter((F.col("pos") >= stop) & (F.col("pos") < end)).select("y", arr.alias("x"))
-        dots = [
-            F.aggregate(
-                F.zip_with("x", F.array(*[F.lit(float(b)) for b in m.coefficients]), lambda u, v: u * v),
-                F.lit(float(m.intercept)),
-                lambda acc, v: acc + v,
-            )
-            for m in models
-        ]
+        dots = [_line(m) for m in models]
         scored = test.agg(*[F.avg(F.pow(F.col("y") - d, F.lit(2.0))).alias(f"e{i}") for i, d in enumerate(dots)]).first()
         errors = [a + b / len(folds) for a, b in zip(errors, scored, strict=True)]
     best = alphas[min(range(n_alphas), key=lambda i: errors[i])]
