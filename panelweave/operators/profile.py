@@ -152,7 +152,8 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     lim = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("b")).scalar()
     src = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("_v"), lim.alias("_b"))
     width = (F.col("_b.hi") - F.col("_b.lo")) / bins
-    bucket = F.least(F.lit(bins - 1), F.coalesce(F.floor(ratio(F.col("_v") - F.col("_b.lo"), width)), F.lit(0)))
+    place = F.coalesce(F.floor(ratio(F.col("_v") - F.col("_b.lo"), width)), F.lit(0))
+    bucket = F.greatest(F.lit(0), F.least(F.lit(bins - 1), place))
     return src.groupBy(bucket.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("smallest"), F.max("_v").alias("largest")
     )

@@ -1,11 +1,16 @@
 """Exact ranks and quantiles without gathering a group in one task.
 
-A group is counted per distinct value, cut into value ranges by a mergeable
-sketch, and each range is ranked on its own with the row counts of the ranges
-below added in front. The cut points only balance the work: any cut gives the
-same exact ranks, so a group with a third of all rows is spread over its
-ranges instead of being sorted in one place. The join that hands the cut
-points to the values is salted for the same reason.
+A group is counted per distinct value and cut into value ranges; each range is
+ranked on its own with the row counts of the ranges below added in front. The
+cut points come from a hash-chosen sample of the distinct values, so they only
+balance the work and are the same however often and in whatever order tasks
+run. A group with a third of all rows is spread over its ranges instead of
+being sorted in one place; the join that hands out the cut points is salted
+for the same reason.
+
+The counts are stored first: several branches of the plan read them, and a
+value recomputed from a floating sum could differ in its last bit between
+branches.
 """
 
 from __future__ import annotations
@@ -16,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelweave.session import materialize
+
 RANGES = 64
 SALTS = 16
+SAMPLE = 1024
 
 
 def _range_of(value: str, lo: int, hi: int) -> str:
@@ -33,14 +41,19 @@ def ranked_values(
 ) -> DataFrame:
     """(keys, value, n, below, total): multiplicity, rows smaller, rows in the group.
 
-    Nulls are skipped. ``weight`` names a count column of an already folded table.
+    Nulls are skipped, and so are rows with a missing key. ``weight`` names a count column of an already folded
+    table. Runs one job, which stores the counts per distinct value.
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, F.lit(ranges * 16)).alias("_cuts"), F.sum("n").alias("total")
+    counts = materialize(counts, "value-counts")
+    slot = F.pmod(F.xxhash64(value), F.lit(SAMPLE)).alias("_slot")
+    picked = counts.groupBy(*keys, slot).agg(
+        F.min(F.struct(F.xxhash64(F.col(value), F.lit(7)).alias("h"), F.col(value).alias("v"))).alias("_p"), F.sum("n").alias("_n")
     )
+    sample = picked.groupBy(*keys).agg(F.sort_array(F.collect_list("_p.v")).alias("_s"), F.sum("_n").alias("total"))
+    marks = f"transform(sequence(1, {ranges - 1}), i -> get(_s, CAST(floor(i * size(_s) / {ranges}) AS INT)))"
+    cuts = sample.select(*keys, F.expr(marks).alias("_cuts"), "total")
     if keys:
         salted = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
         copies = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))

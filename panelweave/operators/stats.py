@@ -18,6 +18,7 @@ from panelweave.functions.columns import clamp_unit, pearson, ratio
 from panelweave.operators.checks import require_date
 from panelweave.operators.ranks import average_ranks
 from panelweave.operators.windows import series_window
+from panelweave.session import materialize
 
 PAIR_BATCH = 200
 
@@ -54,16 +55,19 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
 
     Rows are first folded to distinct value pairs with a count, so ties shrink
     the data before any shuffle, and ranks come from the range-split ranking.
+    The folded pairs are stored first (runs jobs), because the ranks are joined
+    back on the values themselves.
     """
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _quoted(a).cast("double").alias("x"), _quoted(b).cast("double").alias("y"))
         for a, b in pairs
     ]
-    points = (
+    points = materialize(
         df.select(F.inline(F.array(*cells)))
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("a", "b", "x", "y")
-        .agg(F.count(F.lit(1)).alias("w"))
+        .agg(F.count(F.lit(1)).alias("w")),
+        "pairs",
     )
     rx = average_ranks(points, ["a", "b"], "x", weight="w").withColumnRenamed("avg_rank", "rx")
     ry = average_ranks(points, ["a", "b"], "y", weight="w").withColumnRenamed("avg_rank", "ry")
