@@ -18,26 +18,20 @@ from panelweave.session import get_spark  # noqa: E402
 
 HEADLINE = [
     "w01_grouped_lag",
-    "w02_rolling_mean",
     "w12_cross_series",
     "w14_fill_both_ways",
-    "w15_record_gaps",
     "w18_monthly_interpolation",
     "a01_date_statistics",
     "a04_interval_allocation",
-    "a10_duplicate_keys",
     "a16_describe_whole",
     "a26_boxplot",
-    "f07_merge_by_minimum",
     "f08_landed_eur_price",
     "j01_full_join_rates",
-    "j04_panel_with_exogenous",
     "c02_spearman_lines",
     "c04_lagged_corr",
     "c08_autocorrelation",
     "c10_decomposition",
     "m01_adaptive_split",
-    "m02_adaptive_three_way",
     "m05_weights_balanced",
     "m18_ar1_baseline",
     "silver_europe_grouped",

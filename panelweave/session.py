@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="panelweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_dir()
     return folder.rstrip("/")
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="panelweave-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/panelweave/{uuid.uuid4().hex}/{name}"

@@ -124,15 +124,6 @@ def test_type_names(spark):
     ]
 
 
-def two_types(spark, months=30):
-    a, b = series(spark, range(months), "a"), series(spark, range(months), "b")
-    return a.unionByName(b)
-
-
-def series_int(spark):
-    return two_types(spark)
-
-
 def test_split_takes_latest_valid_date(spark):
     src = series(spark, [float(i) for i in range(30)], "a").unionByName(series(spark, [float(i) for i in range(30)], "b"))
     got = splits.split_dates(src, "date", ["k"], ["a", "b"], 20, 5).first()

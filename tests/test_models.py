@@ -96,7 +96,7 @@ def test_permutation_keeps_values(panel):
     assert moved > 0.9 * panel.count()
 
 
-def test_reference_widths(spark, panel):
+def test_table_widths(spark, panel):
     side = panel.select("date").distinct().select("date", *[F.month("date").cast("double").alias(c) for c in fv.EXOGENOUS_COLUMNS])
     base = panel.join(side, "date")
     assert [len(gold.long_features(base, h).columns) for h in (3, 6, 9)] == [72, 72, 74]
