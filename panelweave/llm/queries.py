@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelweave.llm import exact_dedup, sharding
 from panelweave.llm import token_counts as counts
+from panelweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +34,25 @@ def word_bpe() -> str:
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents").select("doc_id", "text"), word_bpe())
+
+
+@query
+def op7_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    placed = sharding.shard_documents(docs, sharding.uniform_tree(40), sharding.uniform_tree(41))
+    return placed.withColumn("law", F.lit("key"))
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{folder}/documents.parquet"
+    dedup = exact_dedup.ExactDedup(spark, scratch_path(spark, "dedup_state"))
+    dedup.absorb(path)
+    return dedup.report(path)
+
+
+ORACLES["op8_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY t)
+"""
