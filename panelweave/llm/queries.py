@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, sharding
+from panelweave.llm import chat_windows, exact_dedup, line_dedup, sharding
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -56,3 +56,37 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY t)
 """
+
+
+@query
+def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return chat_windows.read_back(chat_windows.chat_windows(turns.unionByName(probe), word_bpe()))
+
+
+@query
+def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_shared_lines(docs, removed="removed_lines").select("doc_id", "text", "removed_lines")
+
+
+ORACLES["op5_line_spread"] = f"""
+WITH l AS (
+  SELECT doc_id, source, pos, u.line AS line, trim(u.line) AS norm
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, pos)
+), s AS (
+  SELECT norm, min(doc_id) AS first FROM l WHERE norm <> ''
+  GROUP BY norm HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.MIN_SITES}
+), k AS (
+  SELECT l.*, s.norm IS NOT NULL AND l.doc_id <> s.first AS gone FROM l LEFT JOIN s ON l.norm = s.norm
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed_lines
+FROM k GROUP BY doc_id
+"""
