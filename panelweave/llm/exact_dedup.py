@@ -81,10 +81,12 @@ class ExactDedup:
         return docs.select(self.digest(plain).alias("digest"), id_.alias("at"), *([plain.alias("body")] if body else []))
 
     def absorb(self, path: str) -> None:
-        """Take in the files of ``path`` that were not seen yet."""
+        """Take in the files of ``path``, a folder or one file, that were not seen yet."""
         schema = self.spark.read.parquet(path).schema
         with _set(self.spark, STATE_CONF):
-            arriving = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", self.batch_bytes).parquet(path)
+            # As a pattern, since a stream takes a plain path only where that is a folder.
+            pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
+            arriving = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", self.batch_bytes).parquet(pattern)
             kept = self._keyed(arriving, False).groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
             run = (
                 kept.writeStream.format("noop")
