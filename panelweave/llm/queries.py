@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, exact_dedup, line_dedup, sharding
+from panelweave.llm import chat_windows, exact_dedup, line_dedup, packing, sharding
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -90,3 +90,10 @@ WITH l AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed_lines
 FROM k GROUP BY doc_id
 """
+
+
+@query
+def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, folder, "documents"), word_bpe())
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces)
