@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
 #: Pieces whose ids a worker keeps; the table starts anew when it is full.
 MEMO_PIECES = 400_000
 
 
+_SWAP = sys.byteorder == "big"
+#: Normaliser and word pattern under which a plain word can be split here, by the same rule.
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_PATTERN = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+#: Western letters, digits and signs, none of which composes, opens a special string or shortens a word.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-~]+")
+PLAIN_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 def load(path: str):
     """A tokenizer of the ``tokenizers`` library; special strings in a text keep the library's default."""
     import os
@@ -39,34 +50,74 @@ def splits_at_spaces(tokenizer) -> bool:
     return all(pre.pre_tokenize_str(k) == v for k, v in probes.items()) and tokenizer.encode("", add_special_tokens=False).ids == []
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte of a letter above ASCII in byte-level vocabularies."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
 class Encoder:
     """Ids as the library gives them for the whole text, without added special tokens.
 
     Words repeat, so where a tokenizer splits at spaces the ids of each piece are computed
-    once and kept; other tokenizers encode the whole text.
+    once and kept; other tokenizers encode the whole text. Where the word pattern is the known
+    one, a plain piece goes to the library's merge model run by run, which is cheaper than the
+    whole chain for each piece.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.by_piece = splits_at_spaces(self.tokenizer)
         self.memo: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        before = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = (
+            self.by_piece
+            and rules["normalizer"] == PLAIN_NORMALIZER
+            and [p["type"] for p in before] == ["Split", "ByteLevel"]
+            and (before[0]["pattern"], before[0]["behavior"], before[0]["invert"]) == (PLAIN_PATTERN, "Removed", True)
+            and not (before[1]["add_prefix_space"] or before[1]["use_regex"])
+        )
+        self.letters = byte_letters()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         if not self.by_piece:
             return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {w for words in split for w in words if w not in self.memo}
+        if len(self.memo) + len(new) > MEMO_PIECES:
+            self.memo.clear()
+            new = {w for words in split for w in words}
+        if len(self.runs) > MEMO_PIECES:
+            self.runs.clear()
+        self._learn(new)
         memo = self.memo
-        new = list(dict.fromkeys(w for words in split for w in words if w not in memo))
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        memo.update(zip(new, (self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
+    def _learn(self, pieces: set[str]) -> None:
+        whole = []
+        for w in pieces:
+            if self.plain and PLAIN.fullmatch(w):
+                self.memo[w] = b"".join([self.runs.get(r) or self._run(r) for r in PLAIN_RUNS.findall(w.lower())])
+            else:
+                whole.append(w)
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.memo[w] = self._pack(e.ids)
+
+    def _run(self, run: str) -> bytes:
+        shown = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        ids = self.runs[run] = self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
+        return ids
+
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        packed = array("I", ids)
+        if _SWAP:
+            packed.byteswap()
+        return packed.tobytes()
 
 
 @cache

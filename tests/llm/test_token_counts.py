@@ -13,6 +13,21 @@ PLAIN = load(PATH)
 ODD = "a é é ̈x Σς ΣΑΣ <|endoftext|>b don't I'LL 12\t3\x0b4  z \x1cq 中文 🙂🙂 ,.! ".split(" ") + [" ", "\n", "  ", "\t"]
 
 
+def test_known_word_pattern_is_recognised():
+    assert encoder(PATH).plain and not encoder(BYTES).plain
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x250), st.sampled_from("abenß éÀ×÷ªµ²")), max_size=40))
+def test_western_pieces(text):
+    assert np.frombuffer(encoder(PATH).encode([text])[0], dtype="<u4").tolist() == plain(text)
+
+
+def test_each_letter_at_every_place_of_a_word():
+    text = " ".join(f"a{c}b {c} en{c} {c}er" for c in map(chr, range(0x21, 0x500)))
+    assert np.frombuffer(encoder(PATH).encode([text])[0], dtype="<u4").tolist() == plain(text)
+
+
 def plain(text, tokenizer=PLAIN):
     return tokenizer.encode(text, add_special_tokens=False).ids
 
