@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.shared import small_batches
 from panelweave.llm.token_counts import count_ids
+from panelweave.session import materialize
 
 #: Strings with a meaning in this template or in other common ones. In a text they are broken by a
 #: backslash after their first character; a backslash of the text itself is doubled.
@@ -79,6 +80,7 @@ def chat_windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     rows = rows.withColumn("n", tokens(piece(F.col("role"), F.col("text")))).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS))
+    rows = materialize(rows, "turns")  # tokens are counted once
     order = ["turn", "role", "n", "text"]
 
     # Running sums in two steps: over blocks of turns, then inside a block.
