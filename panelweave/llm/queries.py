@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, exact_dedup, line_dedup, packing, sharding
+from panelweave.llm import chat_windows, exact_dedup, line_dedup, packing, quality, sharding
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -97,3 +97,9 @@ def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, folder, "documents"), word_bpe())
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(pieces)
+
+
+@query
+def op1_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
