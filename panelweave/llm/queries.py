@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, exact_dedup, line_dedup, packing, quality, sharding
+from panelweave.llm import chat_windows, exact_dedup, line_dedup, packing, quality, sharding, toxicity
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -103,3 +103,9 @@ def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
 def op1_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op9_clause_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
