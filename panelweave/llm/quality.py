@@ -184,82 +184,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return RuleModel(float(model.intercept), kept)
 
 
-def score(self, stats: Column) -> Column:
-        total = F.lit(self.intercept)
-        for rule, weight in self.weights:
-            total = total + F.when(compile_rule(rule, stats), F.lit(weight)).otherwise(0.0)
-        return 1 / (1 + F.exp(-total))
-
-
-def compile_rule(rule: Rule, stats: Column) -> Column:
-    """The conjunction as a column expression over the array of statistics."""
-    out = F.lit(True)
-    for t in rule:
-        value = stats[t.statistic]
-        out = out & ((value > t.bound) if t.above else (value <= t.bound))
-    return out
-
-
-def _simplified(path: list[Test]) -> Rule:
-    """One test at most for each statistic and direction, the narrowest."""
-    best: dict[tuple[int, bool], float] = {}
-    for t in path:
-        k = (t.statistic, t.above)
-        best[k] = t.bound if k not in best else (max if t.above else min)(best[k], t.bound)
-    return tuple(sorted((Test(s, a, b) for (s, a), b in best.items()), key=lambda t: (t.statistic, t.above)))
-
-
-def tree_rules(root) -> set[Rule]:
-    """A rule for each path from the root of a fitted tree to a node below it."""
-    rules: set[Rule] = set()
-
-    def walk(node, path: list[Test]) -> None:
-        if path:
-            rules.add(_simplified(path))
-        if node.subtreeDepth():
-            split = node.split()
-            for child, above in ((node.leftChild(), False), (node.rightChild(), True)):
-                walk(child, [*path, Test(split.featureIndex(), above, split.threshold())])
-
-    walk(root, [])
-    return rules
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, text and label (0.0 or 1.0) of at most ``rows`` labelled documents, none of them held out."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-    chosen = known.filter(~held_out("doc_id")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
-    # At most ``rows`` pairs of numbers, so every executor can hold them.
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> RuleModel:
-    """Rules and weights from a bounded sample of labelled rows; without both labels no rule, score 0.5."""
-    small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, rows, doc_id, text).select("doc_id", "label", _statistics("text").alias("stats"))
-    sample = materialize(sample, "sample").withColumn("features", array_to_vector("stats")).coalesce(4)
-    if sample.select("label").distinct().count() < 2:
-        return RuleModel(0.0, ())
-    forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="0.5", seed=SEED).fit(sample)
-    rules = sorted(set().union(*(tree_rules(t._call_java("rootNode")) for t in forest.trees)), key=str)
-    if not rules:
-        return RuleModel(0.0, ())
-    fired = F.array(*[compile_rule(r, F.col("stats")).cast("double") for r in rules])
-    check = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    ruled = materialize(sample.select("label", check.alias("check"), array_to_vector(fired).alias("fired")), "rules").coalesce(4)
-    best, least = None, float("inf")
-    for penalty in PENALTIES:  # chosen on a fold of the learning rows
-        lasso = LogisticRegression(featuresCol="fired", labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False)
-        model = lasso.fit(ruled.filter("NOT check"))
-        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-6)), F.lit(1 - 1e-6))
-        loss = model.transform(ruled.filter("check")).agg(F.avg(F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1 - p)))).first()[0]
-        if loss is not None and loss < least or best is None:
-            best, least = lasso, loss if loss is not None else least
-    model = best.fit(ruled)
-    kept = tuple((r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if w)
-    return RuleModel(float(model.intercept), kept)
-
-
 def _probability(column: str) -> Column:
     from pyspark.ml.functions import vector_to_array
 
