@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, exact_dedup, line_dedup, packing, quality, sharding, toxicity
+from panelweave.llm import chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -109,3 +109,29 @@ def op1_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
 def op9_clause_grammar(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op10_universe_partition(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
+@query
+def op4_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _shingles(id_: str, source: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+')"
+    each = "list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))"
+    return f"SELECT {id_}, unnest(list_distinct({each})) AS s FROM (SELECT {id_}, {words} AS w FROM {source}) WHERE len(w) > 0"
+
+
+ORACLES["op4_containment"] = f"""
+WITH d AS ({_shingles("doc_id", "documents")}), b AS ({_shingles("item_id", "benchmark")}),
+k AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, item_shingles, count(*) AS held_shingles
+FROM d JOIN b USING (s) JOIN k USING (item_id)
+GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= {decontamination.SHARE} * item_shingles
+"""
