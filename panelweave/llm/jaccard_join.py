@@ -361,6 +361,10 @@ def _named(buckets: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def near_duplicates_dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the first document of each component; rows without words all stay, so do null ids."""
-    found = jaccard_components(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    """``docs`` with the first document of each component; rows without words all stay, so do null ids.
+
+    Rows that repeat an id count as one document, which stays if one of them is first in its component.
+    """
+    found = jaccard_components(docs, doc_id, text).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"))
+    gone = materialize(found.filter("NOT stays").select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
