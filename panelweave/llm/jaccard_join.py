@@ -8,7 +8,8 @@ over for later ones (``_signatures`` has the allocation and why no pair is lost)
 uncommon ones are left, a set also gets the hashes of its segments less one shingle, and a segment so
 extended counts for two. Only a set for which that is not enough is indexed under common segments too.
 
-Candidates are checked against the whole sets. A bucket's sets are first held against one of them;
+Candidates that sizes and short profiles of the sets do not rule out are checked against the whole
+sets. A bucket's sets are first held against one of them;
 what does not end in one component is compared further, until no untested pair of different
 components is left in any bucket. Which segments count as common changes the work, never the result.
 """
@@ -41,6 +42,8 @@ HEAVY_CLASSES, HEAVY_ROWS = 10_000, 20
 SMALL_BUCKET = 32
 #: Sets of a larger bucket that meet the others in the first round of many.
 LEADERS = 16
+#: Numbers in a set's profile.
+PROFILE = 128
 CHUNK = 5_000
 _U = np.uint64
 
@@ -241,11 +244,21 @@ def _buckets(docs: DataFrame, common: np.ndarray, heavy: dict[int, int], parts:
     return packed.groupBy("part").applyInPandas(gathered, "bucket long, members array<long>, weight long")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that may be similar by sizes and profiles, which never differ by more than the sets do."""
+    x = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p"))
+    y = sets.select(F.col("key").alias("b"), "n", F.col("profile").alias("q"))
+    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda total, d: total + d)
+    held = pairs.join(x, "a").join(y, "b").filter((4 * F.col("m") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("m")))
+    return held.filter(7 * apart <= F.col("m") + F.col("n")).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; exact, over the whole sets."""
-    x, y = sets.select(F.col("key").alias("a"), F.col("s").alias("x")), sets.select(F.col("key").alias("b"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    held = pairs.join(x, "a").join(y, "b").withColumn("both", both)
+    """The pairs (a, b) whose sets are similar; exact, over the whole sets. Only sets of such pairs are moved."""
+    pairs = materialize(_alike(pairs, sets), "alike")
+    x = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
+    y = sets.select(F.col("key").alias("b"), F.col("s").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
+    held = x.join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     return held.filter(100 * F.col("both") >= 75 * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
@@ -277,7 +290,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         common = _common_segments(docs, total["rows"], total["shingles"])
         parts = max(1, -(-2 * total["shingles"] // (3 * PART_SIGNATURES)))
         buckets = materialize(_buckets(docs, common, heavy, parts), "buckets")
-        links = _links(docs, buckets, classes)
+        repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+        links = _links(docs, buckets, classes, repeated)
     found = components(links)  # node, component: the smallest key
     # Class keys of one component share its smallest doc_id.
     home = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -288,13 +302,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return linked.unionByName(alone)
 
 
-def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """Similar pairs of class keys that together connect all that similar pairs connect."""
     active = buckets.select(F.explode("members").alias("key")).distinct()
     # One document for each class: by its id, and by its key where ids repeat or are null.
     chosen = materialize(classes.join(active, "key").select("key", "first"), "active")
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text")
-    sets = materialize(_true_sets(texts), "sets")
+    sets = materialize(_true_sets(texts, repeated), "sets")
 
     # First every set against the leader it shares most signatures with.
     stars = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, CHUNK)).alias("b"), "weight")
@@ -341,15 +355,23 @@ def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame) -> DataFrame
     return links
 
 
-def _true_sets(texts: DataFrame) -> DataFrame:
-    """Sets of the chosen documents; where a doc_id repeats only the text that has the key."""
+def _true_sets(texts: DataFrame, repeated: bool) -> DataFrame:
+    """key, n, profile and s of the chosen documents; where a doc_id repeats only the text that has the key.
+
+    A profile counts the shingles by PROFILE hash values.
+    """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, s.view(np.int64)) for k, s in zip(batch["key"], map(shingle_set, batch["text"]), strict=True) if len(s) and class_key(s) == k]
-            yield pd.DataFrame(out, columns=["key", "s"])
-
-    return texts.mapInPandas(made, "key long, s array<long>").dropDuplicates(["key"])
+            out = []
+            for key, s in zip(batch["key"], map(shingle_set, batch["text"]), strict=True):
+                if len(s) and class_key(s) == key:
+                    profile = np.bincount((s >> _U(40)).astype(np.int64) % PROFILE, minlength=PROFILE)
+                    out.append((key, len(s), np.minimum(profile, 32767).astype(np.int16), s.view(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "n", "profile", "s"])
+
+    sets = texts.mapInPandas(made, "key long, n long, profile array<smallint>, s array<long>")
+    return sets.dropDuplicates(["key"]) if repeated else sets
 
 
 def _named(buckets: DataFrame, label: DataFrame) -> DataFrame:
