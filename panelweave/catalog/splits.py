@@ -189,10 +189,8 @@ SLOPES = [
     PANEL,
     f"l AS (SELECT *, {', '.join(f'lag(pc_price, {k}) {W} AS lag_{k}' for k in (1, 2, 3, 6, 9, 12))} FROM panel)",
     "coef AS (" + " UNION ALL ".join(f"SELECT 'pc_price_lag_{k}' AS feature, regr_slope(pc_price, lag_{k}) AS coef FROM l" for k in (1, 2, 3, 6, 9, 12)) + ")",
-    "bg AS (SELECT * FROM l ORDER BY date DESC, region DESC, pc_type DESC LIMIT 500)",
-    "sm AS (SELECT * FROM l ORDER BY date DESC, region DESC, pc_type DESC LIMIT 200)",
     "sh AS ("
-    + " UNION ALL ".join(f"SELECT 'pc_price_lag_{k}' AS feature, avg(abs(lag_{k} - (SELECT avg(lag_{k}) FROM bg))) AS d FROM sm" for k in (1, 2, 3, 6, 9, 12))
+    + " UNION ALL ".join(f"SELECT 'pc_price_lag_{k}' AS feature, avg(abs(lag_{k} - (SELECT avg(lag_{k}) FROM l))) AS d FROM l" for k in (1, 2, 3, 6, 9, 12))
     + ")",
 ]
 
@@ -206,7 +204,7 @@ def m16(t: Tables):
     cols = [c for c in lagged.columns if "_lag_" in c]
     one = lagged.agg(*[F.regr_slope("pc_price", c).alias(c) for c in cols])
     coefs = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("coef")) for c in cols])))
-    return attribution.linear_attribution(lagged, lagged, coefs, cols, ["date", "region", "pc_type"])
+    return attribution.linear_attribution(lagged, lagged, coefs, cols)
 
 
 CUT = "DATE '2000-06-01'"

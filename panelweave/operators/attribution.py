@@ -11,27 +11,17 @@ from pyspark.sql import functions as F
 from panelweave.operators.models import PanelModel
 from panelweave.operators.scoring import floored_error
 
-BACKGROUND_ROWS = 500
-SAMPLE_ROWS = 200
 
-
-def _recent(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """Latest rows, a fixed number by definition of the report."""
-    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
-
-
-def linear_attribution(
-    background: DataFrame, sample: DataFrame, coefs: DataFrame, cols: Sequence[str], order: Sequence[str], k: int = 5
-) -> DataFrame:
+def linear_attribution(background: DataFrame, sample: DataFrame, coefs: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """Top ``k`` features by mean absolute ``coef * (x - mean)``.
 
-    ``coefs`` is (feature, coef). Means come from the latest background rows,
-    contributions from the latest sample rows.
+    ``coefs`` is (feature, coef). Means come from all background rows,
+    contributions from all sample rows.
     """
-    means = _recent(background, order, BACKGROUND_ROWS).agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols])
+    means = background.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols])
     mean = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("mean")) for c in cols])))
     cells = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols]
-    long = _recent(sample, order, SAMPLE_ROWS).select(F.inline(F.array(*cells)))
+    long = sample.select(F.inline(F.array(*cells)))
     share = F.abs(F.col("coef") * (F.col("x") - F.col("mean")))
     return (
         long.join(mean, "feature")

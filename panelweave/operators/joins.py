@@ -34,15 +34,6 @@ def full_join_all(tables: Sequence[DataFrame], on: Sequence[str], validate: str
     return reduce(lambda a, b: join_checked(a, b, on, "full", validate), tables)
 
 
-def month_dimension(df: DataFrame, date: str) -> DataFrame:
-    """One row per month, enforced, hinted for broadcast.
-
-    The bound is the calendar: a DATE column holds fewer than 120,000 distinct
-    month starts, so such a table is a few megabytes at any data volume.
-    """
-    return F.broadcast(unique_by(df.filter(F.col(date) == F.trunc(date, "MM")), [date]))
-
-
 def date_dimension(df: DataFrame, date: str) -> DataFrame:
     """One row per date, enforced, hinted for broadcast.
 
@@ -65,8 +56,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
 
 def attach_monthly(base: DataFrame, tables: Iterable[DataFrame], date: str = "date") -> DataFrame:
-    """Left join monthly side tables to a panel or wide table, one row per month each."""
-    return reduce(lambda df, side: df.join(month_dimension(side, date), date, "left"), tables, base)
+    """Left join side tables to a panel or wide table by date; a date that a side repeats fails the job."""
+    return reduce(lambda df, side: df.join(date_dimension(side, date), date, "left"), tables, base)
 
 
 def compare_sources(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, names: tuple[str, str]) -> DataFrame:

@@ -277,3 +277,11 @@ def test_ar1_notes(spark):
     assert got["a"]["n_points"] == 2
     assert got["b"]["note"] == "train too short" and got["b"]["mape"] is None
     assert got["c"]["note"] == "test set empty" and got["c"]["n_points"] == 0
+
+
+def test_side_tables_join_on_their_own_dates(spark):
+    base = spark.sql("SELECT DATE '2020-01-31' AS date, 1 AS v UNION ALL SELECT DATE '2020-02-01', 2")
+    side = spark.sql("SELECT DATE '2020-01-31' AS date, 7 AS x UNION ALL SELECT DATE '2020-02-01', 8")
+    assert {(r.v, r.x) for r in joins.attach_monthly(base, [side]).collect()} == {(1, 7), (2, 8)}
+    with pytest.raises(PySparkException):
+        joins.attach_monthly(base, [side.union(side.filter("x = 7"))]).collect()
