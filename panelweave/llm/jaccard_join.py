@@ -163,15 +163,20 @@ PACKED = "part long, signatures binary, keys binary"
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n and key of every row."""
+    """doc_id, n, key and profile of every row; a profile counts the shingles by PROFILE hash values."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch["text"].to_pylist()]
             n, key = [len(s) for s in sets], [class_key(s) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n", "key"])
+            profile = pa.array([_profile(s) for s in sets], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.int64()), profile], ["doc_id", "n", "key", "profile"])
 
-    return docs.mapInArrow(keyed, "doc_id long, n long, key long")
+    return docs.mapInArrow(keyed, "doc_id long, n long, key long, profile array<smallint>")
+
+
+def _profile(s: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((s >> _U(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 32767).astype(np.int16)
 
 
 def _common_segments(docs: DataFrame, count: int, shingles: int) -> np.ndarray:
@@ -244,21 +249,27 @@ def _buckets(docs: DataFrame, common: np.ndarray, heavy: dict[int, int], parts:
     return packed.groupBy("part").applyInPandas(gathered, "bucket long, members array<long>, weight long")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that may be similar by sizes and profiles, which never differ by more than the sets do."""
-    x = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p"))
-    y = sets.select(F.col("key").alias("b"), "n", F.col("profile").alias("q"))
+    x = classes.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p"))
+    y = classes.select(F.col("key").alias("b"), "n", F.col("profile").alias("q"))
     apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda total, d: total + d)
     held = pairs.join(x, "a").join(y, "b").filter((4 * F.col("m") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("m")))
     return held.filter(7 * apart <= F.col("m") + F.col("n")).select("a", "b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; exact, over the whole sets. Only sets of such pairs are moved."""
-    pairs = materialize(_alike(pairs, sets), "alike")
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; exact, over the whole sets. Only sets of pairs that may be are made."""
+    pairs = materialize(_alike(pairs, classes), "alike")
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    # One document for each class: by its id, and by its key where ids repeat or are null.
+    chosen = materialize(classes.select("key", "first").join(wanted, "key"), "chosen")
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text")
+    sets = materialize(_true_sets(texts, repeated), "sets")
     x = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
-    y = sets.select(F.col("key").alias("b"), F.col("s").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
-    held = x.join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    held = x.join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     return held.filter(100 * F.col("both") >= 75 * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
@@ -281,7 +292,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(_classes(docs), "classes")
     full = rows.filter("n > 0")
-    classes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "keys")
+    classes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("profile").alias("profile")), "keys")
     total = full.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).first()
     links = spark.createDataFrame([], "a long, b long")
     if total["rows"]:
@@ -304,18 +315,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """Similar pairs of class keys that together connect all that similar pairs connect."""
-    active = buckets.select(F.explode("members").alias("key")).distinct()
-    # One document for each class: by its id, and by its key where ids repeat or are null.
-    chosen = materialize(classes.join(active, "key").select("key", "first"), "active")
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text")
-    sets = materialize(_true_sets(texts, repeated), "sets")
-
     # First every set against the leader it shares most signatures with.
     stars = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, CHUNK)).alias("b"), "weight")
     stars = stars.groupBy("a", "b").agg(F.sum("weight").alias("w"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
     tested = materialize(_ordered(best.select("a", "b")), "tested")
-    links = materialize(_linked(tested, sets), "links")
+    links = materialize(_linked(tested, docs, classes, repeated), "links")
 
     # Then what is left between different components: pair by pair in small buckets, in others the leader.
     label = materialize(components(links), "labels")
@@ -327,7 +332,7 @@ def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, repeated: bo
     )
     led = named.filter(~small).select(at[0].alias("x"), F.explode("members").alias("y")).filter("x.label <> y.label").select(F.struct(F.col("x.key").alias("a"), F.col("y.key").alias("b")).alias("p"))
     more = materialize(_ordered(pairs.unionByName(led).select("p.a", "p.b")).join(tested, ["a", "b"], "left_anti"), "more")
-    links = materialize(links.unionByName(_linked(more, sets)), "links")
+    links = materialize(links.unionByName(_linked(more, docs, classes, repeated)), "links")
     tested = materialize(tested.unionByName(more), "tested")
 
     # Large buckets that still hold several components, as rows (bucket, set): more leaders a round, twice as
@@ -349,28 +354,21 @@ def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, repeated: bo
         leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("leader"), F.col("label").alias("its"))
         pairs = open_.join(leaders, "bucket").filter("label <> its").select(F.col("leader").alias("a"), F.col("key").alias("b"))
         more = materialize(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "more")
-        links = materialize(links.unionByName(_linked(more, sets)), "links")
+        links = materialize(links.unionByName(_linked(more, docs, classes, repeated)), "links")
         tested = materialize(tested.unionByName(more), "tested")
         low, high = high, 2 * high
     return links
 
 
 def _true_sets(texts: DataFrame, repeated: bool) -> DataFrame:
-    """key, n, profile and s of the chosen documents; where a doc_id repeats only the text that has the key.
-
-    A profile counts the shingles by PROFILE hash values.
-    """
+    """key and s of the chosen documents; where a doc_id repeats only the text that has the key."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, s in zip(batch["key"], map(shingle_set, batch["text"]), strict=True):
-                if len(s) and class_key(s) == key:
-                    profile = np.bincount((s >> _U(40)).astype(np.int64) % PROFILE, minlength=PROFILE)
-                    out.append((key, len(s), np.minimum(profile, 32767).astype(np.int16), s.view(np.int64)))
-            yield pd.DataFrame(out, columns=["key", "n", "profile", "s"])
-
-    sets = texts.mapInPandas(made, "key long, n long, profile array<smallint>, s array<long>")
+            out = [(k, s.view(np.int64)) for k, s in zip(batch["key"], map(shingle_set, batch["text"]), strict=True) if len(s) and class_key(s) == k]
+            yield pd.DataFrame(out, columns=["key", "s"])
+
+    sets = texts.mapInPandas(made, "key long, s array<long>")
     return sets.dropDuplicates(["key"]) if repeated else sets
 
 
