@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity
+from panelweave.llm import chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity, whitening
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -121,6 +121,12 @@ def op4_containment(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op11_block_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def _shingles(id_: str, source: str) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = rf"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+')"

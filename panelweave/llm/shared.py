@@ -30,6 +30,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def numbered(written: DataFrame, name: str = "row_no") -> DataFrame:
+    """``written``, as ``materialize`` returned it, with rows numbered from 0 in the order of its files.
+
+    What the driver gets is one count for each file, as many as tasks wrote.
+    """
+    file = F.col("_metadata.file_name")
+    counts = written.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    starts, at = [], 0
+    for row in sorted(counts, key=lambda r: (int(r["file"].split("-")[1]), r["file"])):
+        starts.append((row["file"], at))
+        at += row["n"]
+    first = written.sparkSession.createDataFrame(starts, "file string, start long")
+    placed = written.select("*", file.alias("file"), F.col("_metadata.row_index").alias("place"))
+    return placed.join(first, "file").select(*written.columns, (F.col("start") + F.col("place")).alias(name))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores appended until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
