@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity, whitening
+from panelweave.llm import chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity, turn_repair, whitening
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -127,6 +127,12 @@ def op11_block_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+@query
+def op12_edit_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return turn_repair.report(turn_repair.damaged(turns), turns)
+
+
 def _shingles(id_: str, source: str) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = rf"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+')"
