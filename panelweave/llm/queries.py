@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity, turn_repair, whitening
+from panelweave.llm import bottom_k, chat_windows, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, toxicity, turn_repair, whitening
 from panelweave.llm import token_counts as counts
 from panelweave.session import scratch_path
 
@@ -133,6 +133,11 @@ def op12_edit_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.report(turn_repair.damaged(turns), turns)
 
 
+@query
+def op13_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, folder, "documents"))
+
+
 def _shingles(id_: str, source: str) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = rf"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+')"

@@ -1,4 +1,4 @@
-"""Hashes of five-word shingles, inside a task."""
+"""Hashes of word shingles, inside a task."""
 
 from __future__ import annotations
 
@@ -36,21 +36,21 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """A hash for each run of five words in order; of a shorter text one hash of all its words."""
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """A hash for each run of ``size`` words, at most five, in order; of a shorter text one hash of all its words."""
     found = words(text)
     n = len(found)
     if not n:
         return np.zeros(0, dtype=_U)
     hashed = np.fromiter(map(_MEMO.__getitem__, found), dtype=_U, count=n)
-    if n < WORDS:
+    if n < size:
         return mix((hashed * _ODD[:n]).sum(keepdims=True, dtype=_U) + _U(n))
-    total = hashed[: n - WORDS + 1] * _ODD[0]
-    for k in range(1, WORDS):
-        total = total + hashed[k : n - WORDS + 1 + k] * _ODD[k]
+    total = hashed[: n - size + 1] * _ODD[0]
+    for k in range(1, size):
+        total = total + hashed[k : n - size + 1 + k] * _ODD[k]
     return mix(total)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     """The distinct shingles, sorted."""
-    return np.unique(shingles(text))
+    return np.unique(shingles(text, size))
