@@ -8,44 +8,43 @@ over for later ones (``_signatures`` has the allocation and why no pair is lost)
 uncommon ones are left, a set also gets the hashes of its segments less one shingle, and a segment so
 extended counts for two. Only a set for which that is not enough is indexed under common segments too.
 
-Candidates that sizes and short profiles of the sets do not rule out are checked against the whole
-sets. A bucket's sets are first held against one of them;
-what does not end in one component is compared further, until no untested pair of different
-components is left in any bucket. Which segments count as common changes the work, never the result.
+Candidates that sizes and short profiles of the sets do not rule out are checked over the whole sets
+(``linking``). Which segments count as common changes the work, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.components import components
-from panelweave.llm.shared import small_batches
+from panelweave.llm import linking
+from panelweave.llm.linking import class_key
+from panelweave.llm.shared import free_name, small_batches
 from panelweave.llm.shingles import mix, shingle_set
 from panelweave.session import materialize
 
+PERCENT = 75
 #: Signatures that one task sorts.
 PART_SIGNATURES = 400_000
 #: Of so many documents one is looked at for common segments, at least COMMON_LEAST in all.
 COMMON_ONE_IN, COMMON_LEAST = 20, 4_000
 #: Times a segment's content must occur in the sample to be common, and how many are remembered.
 COMMON_TIMES, COMMON_MAX = 5, 200_000
-#: Classes of equal sets that are indexed once, by their first document: the largest.
-HEAVY_CLASSES, HEAVY_ROWS = 10_000, 20
-#: Sets of a bucket that may be compared pair by pair; in larger rows a few sets at a time meet the others.
-SMALL_BUCKET = 32
-#: Sets of a larger bucket that meet the others in the first round of many.
-LEADERS = 16
+#: Classes that a task indexes once only, and parts among which the holders of a common signature are dealt.
+SEEN, SPREAD = 500_000, 16
+#: Bytes of text that come to one shingle, for the number of parts.
+SHINGLE_BYTES = 6
 #: Numbers in a set's profile.
 PROFILE = 128
 CHUNK = 5_000
 _U = np.uint64
+MEASURE = linking.Measure(shingle_set, linking.AtLeast(PERCENT))
 
 
 def _bands(limit: int = 1 << 31) -> list[int]:
@@ -123,133 +122,167 @@ def _signatures(s: np.ndarray, band: int, segments: int, needed: int, common: np
     return np.concatenate(out)
 
 
-def class_key(s: np.ndarray) -> int:
-    """A number for the set; sets with the same number are taken as equal (64 bits of BLAKE2)."""
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _packed(rows: Iterator[tuple[np.ndarray, int]], parts: int) -> Iterator[pd.DataFrame]:
-    """Signatures and class keys as blobs, one for each part: few rows, whatever the number of signatures."""
-
-    def flush() -> pd.DataFrame:
-        signatures, keys = np.concatenate(held), np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in held])
-        part = (signatures % _U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.flatnonzero(np.r_[np.diff(part[order]) != 0, True]) + 1
-        out, a = [], 0
-        for b in ends:
-            pick = order[a:b]
-            out.append((int(part[pick[0]]), signatures[pick].tobytes(), keys[pick].tobytes()))
-            a = b
-        return pd.DataFrame(out, columns=["part", "signatures", "keys"])
-
-    held, owners, n = [], [], 0
-    for signatures, key in rows:
-        held.append(signatures)
-        owners.append(key)
-        n += len(signatures)
-        if n >= PART_SIGNATURES:
-            yield flush()
-            held, owners, n = [], [], 0
-    if held:
-        yield flush()
-
-
-def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(rows["signatures"]), dtype=_U), np.frombuffer(b"".join(rows["keys"]), dtype=np.int64)
-
-
-PACKED = "part long, signatures binary, keys binary"
-
-
-def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key and profile of every row; a profile counts the shingles by PROFILE hash values."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"].to_pylist()]
-            n, key = [len(s) for s in sets], [class_key(s) if len(s) else 0 for s in sets]
-            profile = pa.array([_profile(s) for s in sets], pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.int64()), profile], ["doc_id", "n", "key", "profile"])
+def _profile(s: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((s >> _U(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 32767).astype(np.int16)
 
-    return docs.mapInArrow(keyed, "doc_id long, n long, key long, profile array<smallint>")
 
+#: Entries as blobs: four bytes of each signature, eight of each class key. Other rows describe documents.
+PACKED = "part long, signatures binary, keys binary, common boolean, doc_id long, body long, n long, key long, profile array<smallint>"
+PACKED_SCHEMA = pa.schema(
+    [("part", pa.int64()), ("signatures", pa.binary()), ("keys", pa.binary()), ("common", pa.bool_()), ("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("key", pa.int64())]
+    + [("profile", pa.list_(pa.int16()))]
+)
 
-def _profile(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> _U(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 32767).astype(np.int16)
 
+def _blobs(signatures: list[np.ndarray], owners: list[int], common: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row for each part and kind: few rows, whatever the number of signatures.
 
-def _common_segments(docs: DataFrame, count: int, shingles: int) -> np.ndarray:
+    The holders of a signature that is common in the sample are dealt over ``SPREAD`` parts.
+    """
+    keys = np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in signatures])
+    whole = np.concatenate(signatures)
+    often = _common(whole, common)
+    part = (whole & _U(0xFFFFFFFF)) + np.where(often, mix(keys.view(_U)) % _U(SPREAD), _U(0))
+    slot = (part % _U(parts)).astype(np.int64) * 2 + often
+    order = np.argsort(slot, kind="stable")
+    slot, four, keys = slot[order], (whole[order] >> _U(32)).astype("<u4"), keys[order]
+    ends = np.flatnonzero(np.r_[slot[1:] != slot[:-1], True]) + 1
+    starts = np.r_[0, ends[:-1]]
+    nothing = [None] * len(ends)
+    columns = [
+        (slot[starts] // 2).tolist(),
+        [four[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
+        [keys[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
+        (slot[starts] % 2 == 1).tolist(),
+        *[nothing] * 5,
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_SCHEMA.types, strict=True)], schema=PACKED_SCHEMA)
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(rows["signatures"].to_pylist()), dtype="<u4"), np.frombuffer(b"".join(rows["keys"].to_pylist()), dtype=np.int64)
+
+
+def _common_segments(docs: DataFrame, count: int, size: int) -> np.ndarray:
     """Sorted signatures of segments that are common among a sample of the documents."""
     wanted = max(COMMON_LEAST, count // COMMON_ONE_IN)
-    parts = max(1, -(-3 * shingles * min(wanted, count) // (2 * max(1, count) * PART_SIGNATURES)))
     share = min(1.0, wanted / max(1, count))
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    parts = max(1, -(-int(2 * share * size / SHINGLE_BYTES) // PART_SIGNATURES))
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "body"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.zeros(0, dtype=_U)
-        sets = (shingle_set(t) for batch in batches for t in batch["text"])
-        yield from _packed(((_signatures(s, *role, nothing, every=True), 0) for s in sets if len(s) for role in roles(len(s))), parts)
+        for batch in batches:
+            sets = [s for s in map(shingle_set, batch["text"].to_pylist()) if len(s)]
+            if not sets:
+                continue
+            found = np.concatenate([_signatures(s, *role, nothing, every=True) for s in sets for role in roles(len(s))])
+            part = (found % _U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.flatnonzero(np.r_[np.diff(part[order]) != 0, True]) + 1
+            starts = np.r_[0, ends[:-1]]
+            blobs = [found[order[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[order[starts]]), pa.array(blobs, pa.binary())], ["part", "signatures"])
 
     def counted(rows: pd.DataFrame) -> pd.DataFrame:
-        value, n = np.unique(_unpacked(rows)[0], return_counts=True)
+        value, n = np.unique(np.frombuffer(b"".join(rows["signatures"]), dtype=_U), return_counts=True)
         often = n >= COMMON_TIMES
         return pd.DataFrame({"signature": value[often].view(np.int64), "n": n[often]})
 
-    found = sample.mapInPandas(signed, PACKED).groupBy("part").applyInPandas(counted, "signature long, n long")
+    found = sample.mapInArrow(signed, "part long, signatures binary").groupBy("part").applyInPandas(counted, "signature long, n long")
     top = found.orderBy(F.desc("n"), "signature").limit(COMMON_MAX).select("signature").toPandas()
     return np.sort(top["signature"].to_numpy(dtype=np.int64).view(_U))
 
 
-def _buckets(docs: DataFrame, common: np.ndarray, heavy: dict[int, int], parts: int) -> DataFrame:
-    """members (class keys under one signature, two at least) and weight (signatures with the same members)."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((common, heavy))  # COMMON_MAX and HEAVY_CLASSES numbers at most
-
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, heavy = shared.value
-
-        def rows() -> Iterator[tuple[np.ndarray, int]]:
-            for batch in batches:
-                for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    s = shingle_set(text)
-                    if len(s):
-                        key = class_key(s)
-                        if heavy.get(key, i) == i:
-                            for role in roles(len(s)):
-                                yield _signatures(s, *role, common), key
-
-        yield from _packed(rows(), parts)
-
-    # A null id never stands for a class of many copies.
-    docs = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "text")
-
-    def gathered(rows: pd.DataFrame) -> pd.DataFrame:
-        signatures, keys = _unpacked(rows)
-        rank = mix(keys.view(_U))  # the same order of sets in all buckets
-        order = np.lexsort((rank, signatures))
-        signatures, keys, rank = signatures[order], keys[order], rank[order]
-        new = np.r_[True, (signatures[1:] != signatures[:-1]) | (keys[1:] != keys[:-1])]
-        signatures, keys, rank = signatures[new], keys[new], rank[new]
-        start = np.flatnonzero(np.r_[True, signatures[1:] != signatures[:-1]])
-        size = np.diff(np.r_[start, len(keys)])
-        some = np.flatnonzero(size > 1)
-        if not len(some):
-            return pd.DataFrame({"bucket": [], "members": [], "weight": []})
+FOUND = "bucket long, members array<long>, weight long, long boolean, doc_id long, body long, n long, key long, profile array<smallint>"
+FOUND_SCHEMA = pa.schema(
+    [("bucket", pa.int64()), ("members", pa.list_(pa.int64())), ("weight", pa.int64()), ("long", pa.bool_()), ("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("key", pa.int64())]
+    + [("profile", pa.list_(pa.int16()))]
+)
+BUCKET = ["bucket", "members", "weight", "long"]
+ABOUT = ["doc_id", "body", "n", "key", "profile"]
+
+
+def _indexed(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
+    """Rows of two kinds, from one reading of the texts.
+
+    One describes a document: doc_id, body, n, key, profile (counts of its shingles by PROFILE hash
+    values; of copies in one task the first has it). The other is a bucket: members (class keys under
+    one signature, two at least), weight (signatures with the same members) and whether it is long.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_MAX numbers at most
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, seen = shared.value, set()
+        signatures, owners, held = [], [], 0
+        for batch in batches:
+            n, keys, profiles = [], [], []
+            for text in batch["text"].to_pylist():
+                s = shingle_set(text)
+                key = class_key(s) if len(s) else 0
+                n.append(len(s))
+                keys.append(key)
+                new = len(s) and key not in seen
+                profiles.append(_profile(s) if new else None)
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    for role in roles(len(s)):
+                        found = _signatures(s, *role, common)
+                        signatures.append(found)
+                        owners.append(key)
+                        held += len(found)
+            count = len(n)
+            part = [k % parts for k in keys]
+            about = [part, [None] * count, [None] * count, [None] * count, batch["doc_id"], batch["body"], n, keys, profiles]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(about, PACKED_SCHEMA.types, strict=True)], schema=PACKED_SCHEMA)
+            if held >= PART_SIGNATURES:
+                yield _blobs(signatures, owners, common, parts)
+                signatures, owners, held = [], [], 0
+        if held:
+            yield _blobs(signatures, owners, common, parts)
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        entry = rows["signatures"].is_valid()
+        about = rows.filter(pc.invert(entry)).select(ABOUT)
+        out = [about]
+        for often in (False, True):
+            chosen = rows.filter(pc.and_(entry, pc.equal(rows["common"], often)))
+            if chosen.num_rows:
+                out.append(_buckets(*_unpacked(chosen), often))
+        whole = pa.concat_tables(out, promote_options="default")
+        return pa.table([whole[f.name] if f.name in whole.column_names else pa.nulls(whole.num_rows, f.type) for f in FOUND_SCHEMA], schema=FOUND_SCHEMA)
+
+    return docs.mapInArrow(signed, PACKED).groupBy("part").applyInArrow(gathered, FOUND)
+
+
+def _buckets(signatures: np.ndarray, keys: np.ndarray, often: bool) -> pa.Table:
+    """Rows of at most ``CHUNK`` members and their head; a bucket of several rows, or of several parts, is long."""
+    rank = mix(keys.view(_U))  # the same order of sets in all buckets
+    order = np.lexsort((rank, signatures))
+    signatures, keys, rank = signatures[order], keys[order], rank[order]
+    new = np.r_[True, (signatures[1:] != signatures[:-1]) | (keys[1:] != keys[:-1])]
+    signatures, keys, rank = signatures[new], keys[new], rank[new]
+    start = np.flatnonzero(np.r_[True, signatures[1:] != signatures[:-1]])
+    size = np.diff(np.r_[start, len(keys)])
+    some = np.flatnonzero(size > (0 if often else 1))  # of a spread bucket the rest lies in other parts
+    if often or not len(some):
+        first, weight = np.arange(len(some)), np.ones(len(some), dtype=np.int64)
+    else:
         alike = np.stack([np.add.reduceat(mix(rank), start)[some], size[some].astype(_U)])
         _, first, weight = np.unique(alike, axis=1, return_index=True, return_counts=True)
-        out = []
-        for k, w in zip(some[first], weight, strict=True):
-            members, bucket = keys[start[k] : start[k] + size[k]], int(signatures[start[k]].view(np.int64))
-            for a in range(1, len(members), CHUNK):  # the first set leads every row
-                out.append((bucket, np.r_[members[:1], members[a : a + CHUNK]], int(w)))
-        return pd.DataFrame(out, columns=["bucket", "members", "weight"])
-
-    packed = docs.mapInPandas(signed, PACKED)
-    return packed.groupBy("part").applyInPandas(gathered, "bucket long, members array<long>, weight long")
+    out = []
+    for k, w in zip(some[first], weight, strict=True):
+        members = keys[start[k] : start[k] + size[k]]
+        is_long = often or len(members) > linking.SMALL_LIST
+        for a in range(1, max(2, len(members)), CHUNK):  # the head leads every row
+            out.append((int(signatures[start[k]]), np.r_[members[:1], members[a : a + CHUNK]], int(w), is_long))
+    columns = zip(*out, strict=True) if out else ((),) * 4
+    return pa.table([pa.array(list(c), FOUND_SCHEMA.field(name).type) for c, name in zip(columns, BUCKET, strict=True)], names=BUCKET)
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that may be similar by sizes and profiles, which never differ by more than the sets do."""
     x = classes.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p"))
     y = classes.select(F.col("key").alias("b"), "n", F.col("profile").alias("q"))
@@ -258,25 +291,6 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return held.filter(7 * apart <= F.col("m") + F.col("n")).select("a", "b")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; exact, over the whole sets. Only sets of pairs that may be are made."""
-    pairs = materialize(_alike(pairs, classes), "alike")
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    # One document for each class: by its id, and by its key where ids repeat or are null.
-    chosen = materialize(classes.select("key", "first").join(wanted, "key"), "chosen")
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text")
-    sets = materialize(_true_sets(texts, repeated), "sets")
-    x = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
-    held = x.join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return held.filter(100 * F.col("both") >= 75 * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-
-
-def _ordered(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
@@ -289,95 +303,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(_classes(docs), "classes")
+    docs = linking.keyed(docs, doc_id, text)
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    common = _common_segments(docs, size["rows"], size["bytes"] or 0)
+    parts = max(1, -(-int(2 * (size["bytes"] or 0) / (3 * SHINGLE_BYTES)) // PART_SIGNATURES))
+    indexed = materialize(_indexed(docs, common, parts), "indexed")
+    rows = indexed.filter("n IS NOT NULL").select(*ABOUT)
     full = rows.filter("n > 0")
-    classes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("profile").alias("profile")), "keys")
-    total = full.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).first()
-    links = spark.createDataFrame([], "a long, b long")
-    if total["rows"]:
-        heavy = classes.filter((F.col("copies") >= HEAVY_ROWS) & F.col("first").isNotNull()).orderBy(F.desc("copies"), "key").limit(HEAVY_CLASSES)
-        heavy = {r["key"]: r["first"] for r in heavy.collect()}
-        common = _common_segments(docs, total["rows"], total["shingles"])
-        parts = max(1, -(-2 * total["shingles"] // (3 * PART_SIGNATURES)))
-        buckets = materialize(_buckets(docs, common, heavy, parts), "buckets")
-        repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
-        links = _links(docs, buckets, classes, repeated)
-    found = components(links)  # node, component: the smallest key
-    # Class keys of one component share its smallest doc_id.
-    home = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = home.groupBy("component").agg(F.min("first").alias("component_id"))
-    home = home.join(least, "component").select("key", "component_id")
-    linked = full.join(home, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
-
-
-def _links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """Similar pairs of class keys that together connect all that similar pairs connect."""
-    # First every set against the leader it shares most signatures with.
-    stars = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, CHUNK)).alias("b"), "weight")
-    stars = stars.groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-    tested = materialize(_ordered(best.select("a", "b")), "tested")
-    links = materialize(_linked(tested, docs, classes, repeated), "links")
-
-    # Then what is left between different components: pair by pair in small buckets, in others the leader.
-    label = materialize(components(links), "labels")
-    named = materialize(_named(buckets, label), "named")
-    small = F.size("members") <= SMALL_BUCKET
-    at = F.col("members")
-    pairs = named.filter(small).select(
-        F.explode(F.flatten(F.transform(at, lambda x: F.transform(F.filter(at, lambda y: (y["key"] > x["key"]) & (y["label"] != x["label"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))).alias("p")
-    )
-    led = named.filter(~small).select(at[0].alias("x"), F.explode("members").alias("y")).filter("x.label <> y.label").select(F.struct(F.col("x.key").alias("a"), F.col("y.key").alias("b")).alias("p"))
-    more = materialize(_ordered(pairs.unionByName(led).select("p.a", "p.b")).join(tested, ["a", "b"], "left_anti"), "more")
-    links = materialize(links.unionByName(_linked(more, docs, classes, repeated)), "links")
-    tested = materialize(tested.unionByName(more), "tested")
-
-    # Large buckets that still hold several components, as rows (bucket, set): more leaders a round, twice as
-    # many each time. A set's rank in a bucket comes from its hash; sets of lower ranks have met all others.
-    large = named.filter(~small).select("bucket", F.explode("members.key").alias("key")).distinct()
-    sizes = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.shiftright(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n"), 30)
-    large = materialize(large.join(sizes, "bucket").select("bucket", "key", "n", rank.alias("rank")), "large")
-    most = large.agg(F.max("n").alias("n")).first()["n"] or 0
-    low, high = 0, LEADERS
-    while low < most:
-        label = components(links)
-        left = large.filter(F.col("rank") >= low).join(label.withColumnRenamed("node", "key"), "key", "left")
-        left = materialize(left.select("bucket", "key", "rank", F.coalesce("component", "key").alias("label")), "left")
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
-        open_ = materialize(left.join(mixed, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("leader"), F.col("label").alias("its"))
-        pairs = open_.join(leaders, "bucket").filter("label <> its").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-        more = materialize(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "more")
-        links = materialize(links.unionByName(_linked(more, docs, classes, repeated)), "links")
-        tested = materialize(tested.unionByName(more), "tested")
-        low, high = high, 2 * high
-    return links
-
-
-def _true_sets(texts: DataFrame, repeated: bool) -> DataFrame:
-    """key and s of the chosen documents; where a doc_id repeats only the text that has the key."""
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(k, s.view(np.int64)) for k, s in zip(batch["key"], map(shingle_set, batch["text"]), strict=True) if len(s) and class_key(s) == k]
-            yield pd.DataFrame(out, columns=["key", "s"])
-
-    sets = texts.mapInPandas(made, "key long, s array<long>")
-    return sets.dropDuplicates(["key"]) if repeated else sets
-
-
-def _named(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """Buckets with members as (key, label), only those with several labels."""
-    each = buckets.select("bucket", F.xxhash64("bucket", "members").alias("row"), F.posexplode("members").alias("i", "key"))
-    each = each.join(label.withColumnRenamed("node", "key"), "key", "left").select("bucket", "row", "i", "key", F.coalesce("component", "key").alias("label"))
-    mixed = each.groupBy("bucket", "row").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_sort(F.collect_list(F.struct("i", "key", "label"))).alias("members"))
-    return mixed.filter("low <> high").select("bucket", "members")
+    by_key = full.groupBy("key").agg(linking.first_row(), F.max("n").alias("n"))
+    profiles = full.filter("profile IS NOT NULL").groupBy("key").agg(F.first("profile").alias("profile"))
+    classes = materialize(by_key.join(profiles, "key"), "classes")
+    repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    buckets = indexed.filter("members IS NOT NULL").select(*BUCKET)
+    agreeing = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, CHUNK)).alias("b"), "weight")
+    agreeing = agreeing.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    short = buckets.filter("NOT long").select("members").distinct()
+    long = buckets.filter("long").select("bucket", F.explode("members").alias("key")).distinct()
+    found = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated)
+    return linking.component_rows(rows, classes, found)
 
 
 def near_duplicates_dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,5 +329,6 @@ def near_duplicates_dropped(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Rows that repeat an id count as one document, which stays if one of them is first in its component.
     """
     found = jaccard_components(docs, doc_id, text).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"))
-    gone = materialize(found.filter("NOT stays").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    dropped = materialize(found.filter("NOT stays").select(F.col("doc_id").alias(gone)), "gone")
+    return docs.join(dropped, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
