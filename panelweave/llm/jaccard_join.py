@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm import linking
@@ -40,8 +40,8 @@ COMMON_TIMES, COMMON_MAX = 5, 200_000
 SEEN, SPREAD = 500_000, 16
 #: Bytes of text that come to one shingle, for the number of parts.
 SHINGLE_BYTES = 6
-#: Numbers in a set's profile.
-PROFILE = 128
+#: Numbers in a set's profile, at least, and shingles that come to one number in larger sets.
+PROFILE, PROFILE_SHINGLES = 128, 8
 CHUNK = 5_000
 _U = np.uint64
 MEASURE = linking.Measure(shingle_set, linking.AtLeast(PERCENT))
@@ -123,7 +123,11 @@ def _signatures(s: np.ndarray, band: int, segments: int, needed: int, common: np
 
 
 def _profile(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> _U(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 32767).astype(np.int16)
+    """Counts of the shingles by hash value, a power of two of them: of sets alike in size one has at most twice as many."""
+    size = PROFILE
+    while size * PROFILE_SHINGLES < len(s):
+        size *= 2
+    return np.minimum(np.bincount((s >> _U(32)).astype(np.int64) % size, minlength=size), 32767).astype(np.int16)
 
 
 #: Entries as blobs: four bytes of each signature, eight of each class key. Other rows describe documents.
@@ -286,8 +290,16 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that may be similar by sizes and profiles, which never differ by more than the sets do."""
     x = classes.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p"))
     y = classes.select(F.col("key").alias("b"), "n", F.col("profile").alias("q"))
-    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda total, d: total + d)
-    held = pairs.join(x, "a").join(y, "b").filter((4 * F.col("m") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("m")))
+    sizes = (4 * F.col("m") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("m"))
+    pairs = pairs.join(x.drop("p"), "a").join(y.drop("q"), "b").filter(sizes).select("a", "b")
+
+    def folded(p: str, q: str) -> Column:
+        """The counts of the first in as many numbers as the second has, where it has twice as many."""
+        half = F.size(q)
+        return F.when(F.size(p) > half, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda a, b: (a + b).cast("int"))).otherwise(F.col(p).cast("array<int>"))
+
+    apart = F.aggregate(F.zip_with(folded("p", "q"), folded("q", "p"), lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d)
+    held = pairs.join(x, "a").join(y, "b")
     return held.filter(7 * apart <= F.col("m") + F.col("n")).select("a", "b")
 
 

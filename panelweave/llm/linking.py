@@ -120,21 +120,28 @@ def links(
     ``long`` (bucket, key). ``likely`` keeps the pairs that may be similar; ``classes`` has key and first.
     """
 
-    def test(pairs: DataFrame) -> DataFrame:
+    def test(pairs: DataFrame) -> DataFrame | None:
         held = materialize(likely(pairs), "likely")
-        return held.select("a", "b") if held.isEmpty() else verified(held, docs, classes, measure, repeated)
+        if held.isEmpty():
+            return None
+        met = materialize(verified(held, docs, classes, measure, repeated), "links")
+        return None if met.isEmpty() else met
 
     best = agreeing.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a"))
     tested = materialize(_sides(best.select("a", "b")), "tested")
-    found = materialize(test(tested.select("a", "b")), "links")
+    found = test(tested.select("a", "b"))
+    found = tested.limit(0).select("a", "b") if found is None else found
 
-    def more(pairs: DataFrame) -> DataFrame:
+    def more(pairs: DataFrame) -> bool:
+        """Whether there are links among the pairs not tested before."""
         nonlocal tested, found
         new = _sides(pairs).dropDuplicates(["low", "high"])
         new = materialize(new.join(tested.select("low", "high"), ["low", "high"], "left_anti").select("a", "b", "low", "high"), "more")
-        found = materialize(found.unionByName(test(new.select("a", "b"))), "links")
+        met = test(new.select("a", "b"))
         tested = tested.unionByName(new)
-        return found
+        if met is not None:
+            found = found.unionByName(met)
+        return met is not None
 
     label = materialize(components(found), "labels")
     each = short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key"))
@@ -142,7 +149,8 @@ def links(
     mixed = each.groupBy("row").agg(F.min("label").alias("least"), F.max("label").alias("greatest"), F.collect_set(F.struct("key", "label")).alias("members")).filter("least <> greatest")
     at = F.col("members")
     of_two = F.flatten(F.transform(at, lambda x: F.transform(F.filter(at, lambda y: (y["key"] > x["key"]) & (y["label"] != x["label"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
-    more(mixed.select(F.explode(of_two).alias("p")).select("p.a", "p.b"))
+    if more(mixed.select(F.explode(of_two).alias("p")).select("p.a", "p.b")):
+        label = materialize(components(found), "labels")
 
     # Long lists: a class's rank in a list comes from its hash; classes of lower ranks have met all others.
     # Each round has twice as many leaders as the one before.
@@ -152,7 +160,6 @@ def links(
     most = ranked.agg(F.max("n").alias("n")).first()["n"] or 0
     low, high = 0, LEADERS
     while low < most:
-        label = components(found)
         left = ranked.join(label.withColumnRenamed("node", "key"), "key", "left")
         left = materialize(left.select("bucket", "key", "rank", F.coalesce("component", "key").alias("label")), "left")
         mixed = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
@@ -160,7 +167,8 @@ def links(
         if open_.isEmpty():
             break
         leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("a"), F.col("label").alias("its"))
-        more(open_.join(leaders, "bucket").filter("label <> its").select("a", F.col("key").alias("b")).distinct())
+        if more(open_.join(leaders, "bucket").filter("label <> its").select("a", F.col("key").alias("b")).distinct()):
+            label = materialize(components(found), "labels")
         low, high = high, 2 * high
     return found
 
