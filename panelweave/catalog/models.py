@@ -97,14 +97,14 @@ def m14(t: Tables):
     table = category_table(t)
     cols = splits.non_empty_columns(table, [c for c in table.columns if c != "date"])
     rows = materialize(splits.supervised(table, "green", 3, cols), "supervised")
-    model = models.fit_lasso(rows, cols, n_alphas=6, desired_splits=3)
+    model = models.fit_lasso(rows, cols)
     pairs = list(zip(model.cols, model.coefs, strict=True))
     return t.spark.createDataFrame(pairs, "feature string, coef double")
 
 
 @query("m15_lasso_per_category")
 def m15(t: Tables):
-    results, _ = models.train_per_target(category_table(t), {"regular": "regular", "green": "green"}, 3, n_alphas=5, desired_splits=2)
+    results, _ = models.train_per_target(category_table(t), {"regular": "regular", "green": "green"}, 3)
     return results.withColumn("selected_features", F.concat_ws(",", "selected_features"))
 
 

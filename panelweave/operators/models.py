@@ -8,17 +8,20 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave import fixed_values as fv
 from panelweave.operators.scoring import floored_error, mape
-from panelweave.operators.splits import chrono_split, non_empty_columns, supervised
+from panelweave.operators.splits import add_target, chrono_split, non_empty_columns, supervised
 from panelweave.operators.stats import adf_filter, variance_filter
 from panelweave.session import materialize
 
@@ -211,10 +214,84 @@ def _folds(n: int, desired: int) -> list[tuple[int, int]]:
     return [(n - (k - i) * size, n - (k - i - 1) * size) for i in range(k)]
 
 
-def _line(model) -> Column:
-    """Prediction from the array column ``x``; a lasso leaves most coefficients at zero."""
-    terms = [f"get(x, {i}) * {float(b):.17e}D" for i, b in enumerate(model.coefficients) if b != 0]
-    return F.expr(" + ".join([f"{float(model.intercept):.17e}D", *terms]))
+def _segments(df: DataFrame, order: str, folds: Sequence[tuple[int, int]]) -> Column:
+    """0 for rows before the first fold's test, i + 1 for those of the test of fold i, by date.
+
+    The dates come to the driver: one row each, so no more than the days of the calendar.
+    """
+    if not isinstance(df.schema[order].dataType, T.DateType):
+        raise TypeError(f"{order} must be a DATE, one row each")
+    counts = df.groupBy(order).agg(F.count(F.lit(1)).alias("n")).orderBy(order).collect()
+    if any(r["n"] > 1 for r in counts):
+        raise ValueError(f"{order} repeats; a series has one row per date")
+    out = F.lit(0)
+    for i, (stop, _) in enumerate(folds):
+        out = F.when(F.col(order) >= F.lit(counts[stop][order]), i + 1).otherwise(out)
+    return out
+
+
+def _moments(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of the products of all pairs of entries, added up where the rows are."""
+    vectors = MLUtils.convertVectorColumnsFromML(rows.select("features"), "features")
+    return RowMatrix(vectors, 0, size).computeGramianMatrix().toArray()
+
+
+@dataclass
+class _Centred:
+    """Covariances of features and label about their means, from moments of (1, features, label)."""
+
+    moments: np.ndarray
+
+    def __post_init__(self):
+        n = self.moments[0, 0]
+        mean = self.moments[0, 1:] / n
+        spread = self.moments[1:, 1:] / n - np.outer(mean, mean)
+        self.x, self.xy, self.yy = spread[:-1, :-1], spread[:-1, -1], spread[-1, -1]
+        self.mean_x, self.mean_y = mean[:-1], mean[-1]
+
+    def intercept(self, coefs: np.ndarray) -> float:
+        return float(self.mean_y - self.mean_x @ coefs)
+
+
+def _descend(c: _Centred, alpha: float, coefs: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """Coordinate descent from ``coefs`` until every optimality condition holds to ``tol`` times the largest.
+
+    Rounds go over the features in use; the others are looked at when those have settled.
+    """
+    b, size = coefs.copy(), np.diag(c.x).copy()
+    usable = size > 1e-12
+    gradient = c.xy - c.x @ b
+    slack = tol * max(float(np.abs(c.xy).max(initial=0.0)), 1e-300)
+    for _ in range(max_iter):
+        apart = np.where(b != 0, np.abs(gradient - alpha * np.sign(b)), np.maximum(np.abs(gradient) - alpha, 0.0)) * usable
+        if apart.max(initial=0.0) <= slack:
+            break
+        active = np.flatnonzero((b != 0) | (apart > slack))
+        for _ in range(max_iter):
+            most = 0.0
+            for j in active:
+                if not usable[j]:
+                    continue
+                pull = gradient[j] + size[j] * b[j]
+                new = np.sign(pull) * max(abs(pull) - alpha, 0.0) / size[j]
+                move = new - b[j]
+                if move:
+                    gradient -= c.x[j] * move
+                    b[j] = new
+                    most = max(most, abs(move) * size[j])
+            if most <= slack / 4:
+                break
+        gradient = c.xy - c.x @ b  # without the rounding of many small moves
+    return b
+
+
+def lasso_path(c: _Centred, alphas: Sequence[float], max_iter: int, tol: float) -> list[np.ndarray]:
+    """Coefficients for falling penalties, each starting from the one before."""
+    out, b = [], np.zeros(len(c.xy))
+    for alpha in alphas:
+        b = _descend(c, alpha, b, max_iter, tol)
+        out.append(b)
+    return out
 
 
 def fit_lasso(
@@ -223,45 +300,40 @@ def fit_lasso(
 ) -> LassoModel:
     """Lasso with the penalty chosen over expanding time folds.
 
-    Features are scaled by the population deviation of the training rows. All
-    penalties of a fold are scored in one pass over its test rows.
+    ``order`` is a DATE that does not repeat. Features are scaled by the population deviation of the
+    training rows. One pass over the stored rows gives the moments of each stretch between folds; they
+    add up to those of every fold's training rows, give its path by coordinate descent, and the squared
+    error on its test rows too. What the driver holds is features squared, whatever the rows.
     """
     cols = list(cols)
-    moments = df.agg(
+    first = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(label).alias("y"),
         *[F.avg(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(cols)],
         *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(cols)],
     ).first()
-    means = [moments[f"a{i}"] for i in range(len(cols))]
-    scales = [moments[f"s{i}"] or 1.0 for i in range(len(cols))]
-    n = moments["n"]
-    unit = [((F.col(f"`{c}`") - F.lit(m)) / F.lit(s)).alias(f"z{i}") for i, (c, m, s) in enumerate(zip(cols, means, scales, strict=True))]
-    # one row per date: the fold position is a window bounded by the calendar
-    pos = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) - 1
-    scaled = df.select(F.col(label).cast("double").alias("y"), pos.alias("pos"), *unit)
-    vector = VectorAssembler(inputCols=[f"z{i}" for i in range(len(cols))], outputCol="features")
-    rows = materialize(vector.transform(scaled).select("y", "pos", "features"), "lasso")
-    arr = vector_to_array("features")
-    grad = rows.select(F.posexplode(arr).alias("j", "z"), (F.col("y") - F.lit(moments["y"])).alias("e"))
-    top = grad.groupBy("j").agg(F.abs(F.sum(F.col("z") * F.col("e"))).alias("g")).agg(F.max("g")).first()[0] / n
+    means = [first[f"a{i}"] for i in range(len(cols))]
+    scales = [first[f"s{i}"] or 1.0 for i in range(len(cols))]
+    folds = _folds(first["n"], desired_splits)
+    unit = [((F.col(f"`{c}`") - F.lit(m)) / F.lit(s)).cast("double") for c, m, s in zip(cols, means, scales, strict=True)]
+    label_ = F.col(label).cast("double") - F.lit(first["y"])
+    rows = df.select(_segments(df, order, folds).alias("segment"), array_to_vector(F.array(F.lit(1.0), *unit, label_)).alias("features"))
+    rows = materialize(rows, "lasso")
+    with ThreadPool(threads) as pool:
+        parts = pool.map(lambda i: _moments(rows.filter(F.col("segment") == i), len(cols) + 2), range(len(folds) + 1))
+    whole = _Centred(sum(parts))
+    top = float(np.abs(whole.xy).max(initial=0.0))
     alphas = [top * 10 ** (-3 * i / max(n_alphas - 1, 1)) for i in range(n_alphas)]
-    base = LinearRegression(
-        featuresCol="features", labelCol="y", elasticNetParam=1.0, standardization=False, maxIter=max_iter, tol=tol * 1e-3
-    )
-    errors = [0.0] * n_alphas
-    folds = _folds(n, desired_splits)
-    for stop, end in folds:
-        fold = rows.filter(F.col("pos") < stop)
-        with ThreadPool(threads) as pool:
-            models = pool.map(lambda a, part=fold: base.copy({base.regParam: a}).fit(part), alphas)
-        test = rows.filter((F.col("pos") >= stop) & (F.col("pos") < end)).select("y", arr.alias("x"))
-        dots = [_line(m) for m in models]
-        scored = test.agg(*[F.avg(F.pow(F.col("y") - d, F.lit(2.0))).alias(f"e{i}") for i, d in enumerate(dots)]).first()
-        errors = [a + b / len(folds) for a, b in zip(errors, scored, strict=True)]
-    best = alphas[min(range(n_alphas), key=lambda i: errors[i])]
-    final = base.copy({base.regParam: best}).fit(rows)
-    return LassoModel(cols, means, scales, [float(b) for b in final.coefficients], float(final.intercept), best)
+    tol = tol * 1e-3
+    errors = np.zeros(n_alphas)
+    for i in range(len(folds)):
+        train, test = _Centred(sum(parts[: i + 1])), parts[i + 1]
+        for k, b in enumerate(lasso_path(train, alphas, max_iter, tol)):
+            residual = np.r_[-train.intercept(b), -b, 1.0]
+            errors[k] += residual @ test @ residual / test[0, 0] / len(folds)
+    best = int(np.argmin(errors))
+    final = lasso_path(whole, alphas[: best + 1], max_iter, tol)[-1]
+    return LassoModel(cols, means, scales, [float(b) for b in final], float(first["y"] + whole.intercept(final)), alphas[best])
 
 
 RESULT_SCHEMA = (
@@ -289,8 +361,10 @@ def train_per_target(
     spark: SparkSession = df.sparkSession
     rows, models = [], {}
     for name, col in targets.items():
-        known = df.withColumn("_y", F.col(f"`{col}`"))
-        cols = non_empty_columns(known, features or [c for c in df.columns if c != order])
+        # Features are looked for where the target is known: those filled in the last rows only are empty there.
+        known = materialize(add_target(df.withColumns({"_y": F.col(f"`{col}`"), "_one": F.lit(0)}), "_y", horizon, ["_one"], order), "ahead")
+        cols = non_empty_columns(known.filter(F.col("target").isNotNull()), features or [c for c in df.columns if c != order])
+        known = known.drop("target", "_one")
         table = materialize(supervised(known, "_y", horizon, cols, order=order), "supervised")
         n = table.count()
         if n < fv.MIN_SERIES_SAMPLES or n - max(1, math.floor(n * test_ratio)) < fv.MIN_TRAIN_SAMPLES:

@@ -68,13 +68,61 @@ def test_lasso_matches_descent(spark):
     df = spark.createDataFrame(rows, "date date, target double, a double, b double, c double, d double")
     got = models.fit_lasso(df, ["a", "b", "c", "d"], n_alphas=5, desired_splits=3)
     scaled = (x - x.mean(0)) / x.std(0)
-    assert got.coefs == pytest.approx(list(lasso_by_descent(scaled, y, got.alpha)), abs=2e-3)
+    assert got.coefs == pytest.approx(list(lasso_by_descent(scaled, y, got.alpha)), abs=1e-5)
     assert {"a", "b"} <= set(got.selected)
     fit = got.transform(df).agg(F.avg(F.abs(F.col("target") - F.col("prediction")))).first()[0]
     assert fit < 0.5
     assert models._folds(80, 3) == [(20, 40), (40, 60), (60, 80)]
 
 
+def test_lasso_path_and_penalty(spark):
+    """Every penalty's coefficients meet the optimality conditions; the penalty has the least mean error over the folds."""
+    rng = np.random.default_rng(7)
+    n = 120
+    base = np.cumsum(rng.normal(size=(n, 3)), axis=0)
+    x = np.column_stack([base, base[:, 0] + 0.01 * rng.normal(size=n), np.ones(n), rng.normal(size=(n, 5))])  # near copies, a constant
+    y = base[:, 0] - 0.5 * base[:, 1] + rng.normal(0, 0.3, n) + 100
+    names = [f"f{i}" for i in range(x.shape[1])]
+    order = rng.permutation(n)
+    rows = [(dt.date(2000 + i // 12, i % 12 + 1, 1), float(y[i]), *map(float, x[i])) for i in order]
+    df = spark.createDataFrame(rows, f"date date, target double, {', '.join(f'{c} double' for c in names)}").repartition(5)
+    got = models.fit_lasso(df, names, n_alphas=30)
+    scale = np.where(x.std(0) > 0, x.std(0), 1)
+    z = (x - x.mean(0)) / scale
+    top = np.abs(z.T @ (y - y.mean())).max() / n
+    alphas = top * 10 ** (-3 * np.arange(30) / 29)
+
+    def holds(part, target, b, alpha):
+        e = (target - target.mean()) - (part - part.mean(0)) @ b
+        g = (part - part.mean(0)).T @ e / len(target)
+        return np.all(np.where(b != 0, np.abs(g - alpha * np.sign(b)), np.maximum(np.abs(g) - alpha, 0)) < 1e-5 * top)
+
+    def centred(part, target):
+        whole = np.column_stack([np.ones(len(target)), part, target])
+        return models._Centred(whole.T @ whole)
+
+    errors = np.zeros(30)
+    for stop, end in models._folds(n, 5):
+        path = models.lasso_path(centred(z[:stop], y[:stop]), alphas, 10000, 1e-6)
+        assert all(holds(z[:stop], y[:stop], b, a) for b, a in zip(path, alphas, strict=True))
+        for k, b in enumerate(path):
+            guess = y[:stop].mean() + (z[stop:end] - z[:stop].mean(0)) @ b
+            errors[k] += np.mean((y[stop:end] - guess) ** 2)
+    assert got.alpha == pytest.approx(alphas[errors.argmin()])
+    assert holds(z, y, np.array(got.coefs), got.alpha) and got.coefs[4] == 0
+    assert got.intercept == pytest.approx(y.mean())
+    with pytest.raises(ValueError, match="repeats"):
+        models.fit_lasso(df.unionByName(df), names)
+
+
+def test_features_known_only_in_the_last_rows_are_left_out(panel):
+    """They are empty where the target is known, so they must not empty the table."""
+    wide = panel.filter("region = 'europe'").groupBy("date").pivot("pc_type", ["crystal", "gf10"]).agg(F.first("pc_price"))
+    table = wide.withColumn("late", F.when(F.col("date") >= F.lit("2019-11-01").cast("date"), F.lit(1.0)))
+    out, fitted = models.train_per_target(table, {"crystal": "crystal"}, 3, ["crystal", "gf10", "late"], variance=0.0, alpha=1.0, n_alphas=3, desired_splits=2)
+    assert out.first()["n_features_before"] == 2 and set(fitted) == {"crystal"}
+
+
 def test_per_target_training_skips_short_series(panel):
     wide = panel.filter("region = 'europe'").groupBy("date").pivot("pc_type", ["crystal", "gf10"]).agg(F.first("pc_price"))
     table = gold.wide_features(wide, 3, ["crystal"], ()).withColumn("late", F.when(F.col("date") >= F.lit("2019-06-01").cast("date"), F.col("gf10")))
