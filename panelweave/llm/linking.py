@@ -23,8 +23,8 @@ from panelweave.session import materialize
 
 #: Members of a list that may be compared pair by pair; in longer ones a few at a time meet the others.
 SMALL_LIST = 32
-#: Members of a long list that meet the others in the first round of many.
-LEADERS = 16
+#: Members of a long list that meet the others in the first round, and how many times more in each next one.
+LEADERS, GROWTH = 32, 4
 #: Members that meet one copy of their leader.
 RUN = 200
 #: Keys (16 bytes each) up to which the classes to be read are broadcast.
@@ -153,7 +153,7 @@ def links(
         label = materialize(components(found), "labels")
 
     # Long lists: a class's rank in a list comes from its hash; classes of lower ranks have met all others.
-    # Each round has twice as many leaders as the one before.
+    # Each round has several times as many leaders as the one before.
     sizes = long.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     rank = F.shiftright(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n"), 30)
     ranked = materialize(long.join(sizes, "bucket").select("bucket", "key", "n", rank.alias("rank")), "long")
@@ -169,7 +169,7 @@ def links(
         leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("a"), F.col("label").alias("its"))
         if more(open_.join(leaders, "bucket").filter("label <> its").select("a", F.col("key").alias("b")).distinct()):
             label = materialize(components(found), "labels")
-        low, high = high, 2 * high
+        low, high = high, GROWTH * high
     return found
 
 
