@@ -19,7 +19,7 @@ from panelweave.catalog.standins import (
     unit_prices,
 )
 from panelweave.functions.calendar import add_calendar, month_start
-from panelweave.functions.columns import finite, strength_label, type_flags
+from panelweave.functions.columns import finite, row_min, strength_label, type_flags
 from panelweave.functions.units import converted_name, repair_unit, supplier_of, to_eur_kg, to_usd_kg, type_of
 from panelweave.operators import pricing
 from panelweave.operators.joins import compare_sources, date_dimension
@@ -253,15 +253,18 @@ SCEN = ("price_green_base", "price_green_premium")
             *BOTH,
             f"c AS (SELECT date, {', '.join(COST_SQL)} FROM p2)",
             RETAIL,
-            f"m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, avg(coalesce(avgprice, least({', '.join(SITES)}))) AS p FROM retail GROUP BY ALL)",
-            "h AS (SELECT avg(p) AS h FROM (SELECT p FROM m ORDER BY date DESC LIMIT 6) z)",
+            f"d AS (SELECT date, coalesce(avgprice, least({', '.join(SITES)})) AS p, avgprice IS NOT NULL OR month(date) % 4 <> 0 AS own FROM retail)",
+            "m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, avg(p) AS p, bool_and(own) AS own FROM d GROUP BY ALL)",
+            "h AS (SELECT avg(p) AS h FROM (SELECT p FROM m WHERE own ORDER BY date DESC LIMIT 6) z)",
         ],
         " UNION ALL ".join(f"SELECT '{s}' AS scenario, {r(f'avg({s}) AS mean', f'min({s}) AS low', f'max({s}) AS high', f'avg({s}) / max(h) AS ratio_to_recent')} FROM c, h" for s in SCEN),
     ),
 )
 def f20(t: Tables):
     costs = pricing.cost_plus(two_categories(t), {"regular": "regular", "green": "green"})
-    history = pricing.monthly_with_source(pricing.product_price(retail(t), "avgprice", SITES), "date")
+    # Averages are known on all days but in one month of four.
+    known = retail(t).withColumn("avgprice", F.coalesce("avgprice", F.when(F.month("date") % 4 != 0, row_min(SITES))))
+    history = pricing.monthly_with_source(pricing.product_price(known, "avgprice", SITES), "date")
     return pricing.scenario_summary(costs, history, "date", "product_price", SCEN)
 
 

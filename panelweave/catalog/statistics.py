@@ -157,15 +157,18 @@ def c07(t: Tables):
     return stats.linear_trend(panel(t), ["region", "pc_type"], "date", "pc_price")
 
 
+ACF = [
+    COUNTRY,
+    "x AS (SELECT country, row_number() OVER (PARTITION BY country ORDER BY date) AS t, price - avg(price) OVER (PARTITION BY country) AS x FROM country_prices)",
+    "s AS (SELECT country, count(*) AS n, sum(x * x) AS s0 FROM x GROUP BY country)",
+    "l AS (SELECT a.country, k.k AS lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN range(0, 25) k(k) JOIN x b ON a.country = b.country AND b.t = a.t - k.k GROUP BY ALL)",
+]
+
+
 @query(
     "c08_autocorrelation",
     sql_with(
-        [
-            COUNTRY,
-            "x AS (SELECT country, row_number() OVER (PARTITION BY country ORDER BY date) AS t, price - avg(price) OVER (PARTITION BY country) AS x FROM country_prices)",
-            "s AS (SELECT country, count(*) AS n, sum(x * x) AS s0 FROM x GROUP BY country)",
-            "l AS (SELECT a.country, k.k AS lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN range(0, 25) k(k) JOIN x b ON a.country = b.country AND b.t = a.t - k.k GROUP BY ALL)",
-        ],
+        ACF,
         f"SELECT country, CAST(lag AS INTEGER) AS lag, {r('s / s0 AS acf', '1.959963984540054 / sqrt(n) AS band')} FROM l JOIN s USING (country)",
     ),
 )
@@ -173,7 +176,22 @@ def c08(t: Tables):
     return stats.acf(country_prices(t), ["country"], "date", "price", 24)
 
 
-@query("c09_partial_autocorrelation")
+@query(
+    "c09_partial_autocorrelation",
+    sql_with(
+        [
+            *ACF,
+            "rho AS (SELECT country, list(s / s0 ORDER BY lag) AS rho FROM l JOIN s USING (country) GROUP BY country)",
+            """d AS (SELECT country, rho, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS last FROM rho
+  UNION ALL
+  SELECT country, rho, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - v * phi[k + 1 - i]), v), v
+  FROM (SELECT country, rho, k, phi, (rho[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[k + 2 - i])), 0))
+      / nullif(1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[i + 1])), 0), 0) AS v
+    FROM d WHERE k + 1 < len(rho)) z)""",
+        ],
+        f"SELECT country, CAST(k AS INTEGER) AS lag, {r('last AS pacf')} FROM d",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def c09(t: Tables):
     return stats.pacf(stats.acf(country_prices(t), ["country"], "date", "price", 24), ["country"])
 

@@ -80,35 +80,8 @@ BASE_ENDOGENOUS_COLUMNS = (
     "asia_pc_regular_best_price",
     "asia_pc_green_best_price",
 )
-GROUPED_ENDOGENOUS_COLUMNS = (
-    "eu_pc_crystal_best_price",
-    "eu_pc_white_best_price",
-    "eu_pc_gf10_best_price",
-    "eu_pc_gf20_best_price",
-    "eu_pc_recycled_gf10_white_best_price",
-    "eu_pc_recycled_gf10_grey_best_price",
-    "eu_pc_si_best_price",
-    "asia_pc_gp_best_price",
-    "asia_pc_gp_recycled_best_price",
-    "asia_pc_fr_best_price",
-    "asia_pc_gf_best_price",
-    "asia_pc_gf_recycled_best_price",
-    "asia_pc_nat_best_price",
-    "asia_pc_si_best_price",
-    "asia_pc_si_recycled_best_price",
-)
 
 # --- Europe price file (names after header cleaning) ----------------------
-EU_UNNAMED_COLUMNS = ("unnamed: 11", "unnamed: 12", "unnamed: 49")
-EU_PERCENT_COLUMNS = (
-    "eu_supplier_1 pc crystal %",
-    "eu_supplier_2 - pc crystal %",
-    "eu_supplier_3 - pc crystal %",
-    "eu_supplier_4 - pc crystal %",
-    "eu_supplier_5 - pc crystal %",
-    "eu_supplier_3 pc gf10 %",
-    "eu_supplier_4 pcgf10 %",
-)
 EU_REFERENCE_COLUMNS = (
     "pc pie",
     "pc pie normalized",

@@ -53,9 +53,14 @@ def cost_plus(
     return df.select("*", *cols)
 
 
-def scenario_summary(forecast: DataFrame, history: DataFrame, date: str, price: str, scenarios: Sequence[str], months: int = 6) -> DataFrame:
-    """Mean, range and ratio to the mean of the last months of history, per scenario."""
-    recent = history.orderBy(F.desc(date)).limit(months).agg(F.avg(price)).scalar()
+def scenario_summary(
+    forecast: DataFrame, history: DataFrame, date: str, price: str, scenarios: Sequence[str], months: int = 6, source: str = "price_source"
+) -> DataFrame:
+    """Mean, range and ratio to the mean of the last months of history, per scenario.
+
+    Of the history only months count whose price is an average on all days.
+    """
+    recent = history.filter(F.col(source) == "average").orderBy(F.desc(date)).limit(months).agg(F.avg(price)).scalar()
     aggs = [F.avg(s).alias(f"{s}@mean") for s in scenarios]
     aggs += [F.min(s).alias(f"{s}@min") for s in scenarios] + [F.max(s).alias(f"{s}@max") for s in scenarios]
     one = forecast.agg(*aggs).withColumn("_h", recent)

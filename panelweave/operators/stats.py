@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -153,34 +153,28 @@ def acf(df: DataFrame, keys: Sequence[str], order: str, col: str, n_lags: int) -
     ).filter(F.col("acf").isNotNull())
 
 
-def _partial(rho: Sequence[float]) -> list[float]:
-    """Levinson-Durbin recursion on autocorrelations rho[0..n]."""
-    phi = np.zeros(0)
-    out = [1.0]
-    for k in range(1, len(rho)):
-        head = np.asarray(rho[1:k])
-        num = rho[k] - float(phi @ head[::-1])
-        den = 1.0 - float(phi @ head)
-        last = num / den if den else float("nan")
-        phi = np.append(phi - last * phi[::-1], last)
-        out.append(last)
-    return out
-
-
 def pacf(acf_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Partial autocorrelations from :func:`acf` rows; the recursion sees a few dozen numbers per series."""
+    """Partial autocorrelations from :func:`acf` rows, by the Levinson-Durbin recursion over each series' lags.
+
+    The recursion is one array expression; a lag whose denominator is zero gives NULL from there on.
+    """
     packed = acf_rows.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("lag", "acf"))), lambda s: s["acf"]).alias("rho")
     )
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.assign(pacf=[_partial(list(r)) for r in batch["rho"]])
-            yield batch.drop(columns="rho")
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keys).schema)
-    solved = packed.mapInPandas(solve, f"{kinds}, pacf array<double>")
-    return solved.select(*keys, F.posexplode("pacf").alias("lag", "pacf"))
+    rho = F.col("rho")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    product = lambda xs, ys: total(F.zip_with(xs, ys, lambda x, y: x * y))
+
+    def step(done, k):
+        phi = done["phi"]
+        head = F.slice(rho, F.lit(2), k - 1)
+        last = ratio(F.element_at(rho, k + 1) - product(phi, F.reverse(head)), F.lit(1.0) - product(phi, head))
+        carried = F.zip_with(phi, F.reverse(phi), lambda p, q: p - last * q)
+        return F.struct(F.concat(carried, F.array(last)).alias("phi"), F.concat(done["pacf"], F.array(last)).alias("pacf"))
+
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.array(F.lit(1.0)).alias("pacf"))
+    lags = F.when(F.size(rho) > 1, F.sequence(F.lit(1), F.size(rho) - 1)).otherwise(F.array().cast("array<int>"))
+    return packed.select(*keys, F.posexplode(F.aggregate(lags, start, step, lambda done: done["pacf"])).alias("lag", "pacf"))
 
 
 def decompose_additive(df: DataFrame, keys: Sequence[str], date: str, col: str, period: int = 12) -> DataFrame:
