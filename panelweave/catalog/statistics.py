@@ -17,7 +17,7 @@ from panelweave.catalog.standins import (
     panel,
     regional_wide,
 )
-from panelweave.operators import stats, windows
+from panelweave.operators import stats, unit_root, windows
 from panelweave.operators.reshape import allocate_interval, to_wide
 from panelweave.plans.gold import wide_features
 
@@ -240,9 +240,33 @@ def c11(t: Tables):
     return stats.column_variances(wide, [*NAMES, "flat"]).withColumn("variance", F.col("variance") / 1e6)
 
 
+FIXED_LAGS = 1
+C12 = [
+    PANEL,
+    f"o AS (SELECT region, pc_type, date, pc_price - lag(pc_price) {W} AS z, lag(pc_price) {W} AS y FROM panel)",
+    f"""x AS (SELECT region, pc_type, z, y, lag(z) {W} AS d FROM o)""",
+    """s AS (SELECT region, pc_type, count(*) AS m, var_pop(y) * count(*) AS yy, var_pop(d) * count(*) AS dd, var_pop(z) * count(*) AS zz,
+       covar_pop(y, d) * count(*) AS yd, covar_pop(y, z) * count(*) AS yz, covar_pop(d, z) * count(*) AS dz
+       FROM x WHERE d IS NOT NULL GROUP BY ALL)""",
+    "b AS (SELECT *, yy * dd - yd * yd AS det, (yz * dd - dz * yd) / (yy * dd - yd * yd) AS c_y, (dz * yy - yz * yd) / (yy * dd - yd * yd) AS c_d FROM s)",
+]
+
+
+@query(
+    "c12_unit_root_fixed_lag",
+    sql_with(
+        C12,
+        f"""SELECT region, pc_type, m + 2 AS n, {FIXED_LAGS} AS lags,
+        {r('c_y / sqrt((zz - c_y * yz - c_d * dz) / (m - 3) * dd / det) AS statistic')} FROM b""",
+    ),
+)
+def c12_fixed(t: Tables):
+    return unit_root.unit_root(panel(t), ["region", "pc_type"], "date", "pc_price", FIXED_LAGS).drop("p_value")
+
+
 @query("c12_unit_root_tests")
 def c12(t: Tables):
     feats = feature_table(t)
     cols = [c for c in feats.columns if c != "date"]
     long = feats.unpivot(["date"], [F.col(c).cast("double") for c in cols], "feature", "value")
-    return stats.adf_table(long, "feature", "date", "value")
+    return unit_root.adf_table(long, "feature", "date", "value")

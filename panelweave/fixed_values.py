@@ -255,6 +255,11 @@ MAPE_FLOOR = 2.220446049250313e-16
 VARIANCE_THRESHOLD = 1e-4
 STATIONARITY_ALPHA = 0.05
 MIN_SERIES_SAMPLES = 24
+# Coefficients of the published response surface for unit-root p-values (constant, one series):
+# powers of the statistic from 0 up, and the least, switching and greatest statistic.
+UNIT_ROOT_LOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+UNIT_ROOT_RANGE = (-18.83, -1.61, 2.74)
 MIN_TRAIN_SAMPLES = 10
 LASSO_COEF_THRESHOLD = 1e-8
 REGION_WEIGHT = 1.5

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from panelweave import fixed_values as fv
 from panelweave.operators.scoring import floored_error, mape
 from panelweave.operators.splits import add_target, chrono_split, non_empty_columns, supervised
-from panelweave.operators.stats import adf_filter, variance_filter
+from panelweave.operators.stats import variance_filter
+from panelweave.operators.unit_root import adf_filter
 from panelweave.session import materialize
 
 # Search ranges per family: (parameter, low, high, kind).

@@ -12,15 +12,24 @@ from pyspark.sql import types as T
 from panelweave import fixed_values as fv
 from panelweave.functions.columns import finite
 from panelweave.operators.joins import lookup_join
+from panelweave.operators.ranks import ranked_values
+from panelweave.operators.series import PLACE, SIZE, series
 from panelweave.operators.windows import add_target, fill_both, fill_forward
 from panelweave.session import materialize
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct labels numbered from 0. Labels are a dictionary: the window sees distinct values only."""
-    names = df.select(col).distinct()
-    w = W.partitionBy(F.lit(0)).orderBy(col)
-    return names.select(col, (F.row_number().over(w) - 1).alias(f"{col}_encoded"))
+    """Sorted distinct labels numbered from 0; a null label has the first number, an empty table no rows.
+
+    Distinct labels are cut into value ranges and numbered per range behind the ranges below, so no task sorts
+    them all. The input is read once and its distinct labels are stored.
+    """
+    names = materialize(df.select(col).distinct(), "labels")
+    known = ranked_values(names, [], col).select(col, "below")
+    nulls = names.filter(F.col(col).isNull()).select(col, F.lit(0).cast("long").alias("below"))
+    some = F.broadcast(nulls.agg(F.count(F.lit(1)).alias("_nulls")).withColumn("_one", F.lit(0)))
+    shifted = known.withColumn("_one", F.lit(0)).join(some, "_one").select(col, (F.col("below") + F.col("_nulls")).alias("below"))
+    return shifted.unionByName(nulls).select(col, F.col("below").cast("int").alias(f"{col}_encoded"))
 
 
 def encode_labels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -146,17 +155,18 @@ def cutoff_split(df: DataFrame, date: str, cutoff: str = fv.CUTOFF_DATE) -> tupl
 def chrono_split(
     df: DataFrame, order: str, ratio: float = 0.2, keys: Sequence[str] = (), min_train: int = fv.MIN_TRAIN_SAMPLES
 ) -> DataFrame:
-    """Last ``max(1, floor(n * ratio))`` rows of each series are test; too short a series fails the job."""
-    keys = list(keys) or [F.lit(0)]
-    w, group = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(group)
-    src = df.select("*", n.alias("_n"), F.row_number().over(w).alias("_r"))
-    train = F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(ratio)))
+    """Last ``max(1, floor(n * ratio))`` rows of each series are test; too short a series fails the job.
+
+    ``order`` is a DATE that does not repeat in a series. Without keys the table is one series.
+    """
+    s = series(df, keys, order)
+    n = F.col(SIZE)
+    train = n - F.greatest(F.lit(1), F.floor(n * F.lit(ratio)))
     enough = F.when(train >= min_train, True).otherwise(
         F.raise_error(F.lit(f"not enough samples: need {min_train} training rows")).cast("boolean")
     )
-    split = F.when(F.col("_r") <= train, "train").otherwise("test")
-    return src.filter(enough).withColumn("split", split).drop("_n", "_r")
+    split = F.when(F.col(PLACE) <= train, "train").otherwise("test")
+    return s.own(s.rows.filter(enough).withColumn("split", split))
 
 
 def supervised(

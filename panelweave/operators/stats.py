@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +14,7 @@ from panelweave import fixed_values as fv
 from panelweave.functions.columns import clamp_unit, pearson, ratio
 from panelweave.operators.checks import require_date
 from panelweave.operators.ranks import average_ranks
+from panelweave.operators.series import series
 from panelweave.operators.windows import series_window
 from panelweave.session import materialize
 
@@ -98,11 +96,12 @@ def lagged_corr(
     """(keys, driver, lag, r): a negative lag pairs the target with earlier driver values.
 
     All shifts are columns of one window and all correlations one aggregation,
-    so there is no self-join. Rows must be unique by date within the keys.
+    so there is no self-join. ``order`` is a DATE that does not repeat within the keys; without keys the
+    table is one series, cut into blocks of rows.
     """
-    require_date(df, order)
-    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
-    moved = df.select(*keys, target, *[F.lag(d, -k).over(w).alias(f"{d}@{k}") for d in drivers for k in lags])
+    s = series(df, keys, order, max(0, *(-k for k in lags)), max(0, *lags))
+    shifts = [F.lag(d, -k).over(s.window).alias(f"{d}@{k}") for d in drivers for k in lags]
+    moved = s.own(s.rows.select("*", *shifts)).select(*keys, target, *[f"{d}@{k}" for d in drivers for k in lags])
     out = pearson_pairs(moved, [(target, f"{d}@{k}") for d in drivers for k in lags], keys)
     parts = F.split("b", "@")
     return out.select(*keys, parts[0].alias("driver"), parts[1].cast("int").alias("lag"), "r")
@@ -116,10 +115,10 @@ def best_lag(corr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def change_corr(df: DataFrame, a: str, b: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Correlation of one-row percent changes of two columns."""
-    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
-    pct = {c: ratio(F.col(c), F.lag(c, 1).over(w)) - 1 for c in (a, b)}
-    moved = df.select(*keys, *[v.alias(c) for c, v in pct.items()])
+    """Correlation of one-row percent changes of two columns (C5); ``order`` as in ``lagged_corr``."""
+    s = series(df, keys, order, before=1)
+    pct = {f"_pct_{c}": ratio(F.col(c), F.lag(c, 1).over(s.window)) - 1 for c in (a, b)}
+    moved = s.own(s.rows.select("*", *[v.alias(c) for c, v in pct.items()])).select(*keys, *[F.col(f"_pct_{c}").alias(c) for c in (a, b)])
     return pearson_pairs(moved, [(a, b)], keys)
 
 
@@ -235,79 +234,3 @@ def variance_filter(df: DataFrame, cols: Sequence[str], threshold: float = fv.VA
     one = df.agg(*[F.var_samp(_quoted(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     kept = [c for c, v in zip(cols, one, strict=True) if v is not None and v > threshold]
     return kept or list(cols)
-
-
-def _p_value(tau: float) -> float:
-    """Published response-surface approximation for a regression with a constant."""
-    if tau > 2.74:
-        return 1.0
-    if tau < -18.83:
-        return 0.0
-    if tau <= -1.61:
-        z = 2.1659 + 1.4412 * tau + 0.038269 * tau**2
-    else:
-        z = 1.7339 + 0.93202 * tau - 0.12745 * tau**2 - 0.010368 * tau**3
-    return 0.5 * math.erfc(-z / math.sqrt(2))
-
-
-def _unit_root(y: np.ndarray) -> tuple[float, int, float] | None:
-    """(statistic, lags, p) of one series, or None where the regression has no solution."""
-    n = len(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if most < 0 or np.ptp(y) == 0:
-        return None
-    d = np.diff(y)
-
-    def fit(lags: int, skip: int):
-        rows = np.arange(skip, len(d))
-        x = np.column_stack([np.ones(len(rows)), y[rows], *[d[rows - k] for k in range(1, lags + 1)]])
-        beta, _, rank, _ = np.linalg.lstsq(x, d[rows], rcond=None)
-        if rank < x.shape[1] or len(rows) <= x.shape[1]:
-            return None
-        rss = float(((d[rows] - x @ beta) ** 2).sum())
-        return x, beta, rss, len(rows)
-
-    scored = []
-    for lags in range(most + 1):
-        got = fit(lags, most)
-        if got is not None and got[2] > 0:
-            scored.append((got[3] * math.log(got[2] / got[3]) + 2 * (lags + 2), lags))
-    if not scored:
-        return None
-    lags = min(scored)[1]
-    got = fit(lags, lags)
-    if got is None or got[2] <= 0:
-        return None
-    x, beta, rss, m = got
-    cov = np.linalg.inv(x.T @ x) * rss / (m - x.shape[1])
-    tau = float(beta[1] / math.sqrt(cov[1, 1]))
-    return tau, lags, _p_value(tau)
-
-
-def adf_table(long: DataFrame, feature: str, order: str, value: str, min_n: int = fv.MIN_SERIES_SAMPLES) -> DataFrame:
-    """(feature, n, lags, statistic, p_value) per series of a long table.
-
-    Spark shuffles by series; one series is at most one row per calendar day.
-    """
-    require_date(long, order)
-    known = long.filter(F.col(value).isNotNull()).select(F.col(feature).alias("feature"), order, value)
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(order)[value].to_numpy(dtype=float)
-        got = _unit_root(y) if len(y) >= min_n else None
-        tau, lags, p = got or (None, None, None)
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(y)], "lags": [lags], "statistic": [tau], "p_value": [p]})
-
-    return known.groupBy("feature").applyInPandas(
-        test, "feature string, n bigint, lags double, statistic double, p_value double"
-    ).withColumn("lags", F.col("lags").cast("int"))
-
-
-def adf_filter(
-    df: DataFrame, cols: Sequence[str], order: str, alpha: float = fv.STATIONARITY_ALPHA, min_n: int = fv.MIN_SERIES_SAMPLES
-) -> list[str]:
-    """Columns that test stationary, or all of them if none does. Runs one job."""
-    long = df.unpivot([order], [_quoted(c) for c in cols], "feature", "value")
-    rows = adf_table(long, "feature", order, "value", min_n).filter(F.col("p_value") <= alpha).select("feature").collect()
-    kept = {r["feature"] for r in rows}
-    return [c for c in cols if c in kept] or list(cols)

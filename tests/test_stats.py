@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import stats
+from panelweave.operators import stats, unit_root
+from panelweave.operators.series import BLOCK_ROWS, series
 
 
 def months(n):
@@ -51,7 +52,7 @@ def brute_adf(y):
 
 
 def test_unit_root(spark, walks):
-    got = {r["feature"]: r for r in stats.adf_table(frame(spark, **walks), "k", "date", "x").collect()}
+    got = {r["feature"]: r for r in unit_root.adf_table(frame(spark, **walks), "k", "date", "x").collect()}
     for k in ("noise", "walk"):
         tau, lags = brute_adf(walks[k])
         assert got[k]["statistic"] == pytest.approx(tau) and got[k]["lags"] == lags
@@ -59,15 +60,60 @@ def test_unit_root(spark, walks):
     assert got["flat"]["p_value"] is None and got["short"]["p_value"] is None
 
 
-def test_p_values():
-    for tau, p in ((-3.43, 0.010), (-2.86, 0.050), (-2.57, 0.099)):
-        assert stats._p_value(tau) == pytest.approx(p, abs=5e-4)
+def test_p_values(spark):
+    rows = spark.createDataFrame([(-3.43, 0.010), (-2.86, 0.050), (-2.57, 0.099), (-20.0, 0.0), (3.0, 1.0)], "tau double, p double")
+    for row in rows.withColumn("got", unit_root.p_value(F.col("tau"))).collect():
+        assert row["got"] == pytest.approx(row["p"], abs=5e-4)
+
+
+def test_normal_distribution(spark):
+    zs = [-15.0, -12.0, -8.0, -3.0, -1.0, 0.0, 0.5, 2.0, 6.0, 12.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", unit_root.normal_cdf(F.col("z")).alias("p")).collect()
+    for z, p in rows:
+        assert p == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), abs=1e-14)
+
+
+def test_unit_root_edges(spark, walks):
+    t = np.arange(60.0)
+    got = {r["k"]: r for r in unit_root.unit_root(frame(spark, line=3 * t, flat=0 * t, short=t[:5], big=1e9 + walks["walk"]), ["k"], "date", "x").collect()}
+    assert all(got[k]["statistic"] is None and got[k]["p_value"] is None for k in ("line", "flat", "short"))
+    tau, lags = brute_adf(walks["walk"])
+    assert got["big"]["statistic"] == pytest.approx(tau, rel=1e-5) and got["big"]["lags"] == lags
+    fixed = unit_root.unit_root(frame(spark, walk=walks["walk"]), ["k"], "date", "x", lags=2).first()
+    d = np.diff(walks["walk"])
+    x = np.array([[1.0, walks["walk"][i], d[i - 1], d[i - 2]] for i in range(2, len(d))])
+    beta = np.linalg.lstsq(x, d[2:], rcond=None)[0]
+    rss = ((d[2:] - x @ beta) ** 2).sum()
+    assert fixed["statistic"] == pytest.approx(beta[1] / math.sqrt(np.linalg.inv(x.T @ x)[1, 1] * rss / (len(x) - 4)))
+    empty = unit_root.unit_root(frame(spark, walk=walks["walk"]).limit(0), ["k"], "date", "x")
+    assert empty.count() == 0
+
+
+def test_series_in_blocks(spark):
+    n = 2 * BLOCK_ROWS + 700
+    first = dt.date(1990, 1, 1)
+    df = spark.range(n).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("x"))
+    s = series(df.repartition(7), [], "date", before=5, after=3)
+    rows = s.own(s.rows.select("*", F.lag("x", 5).over(s.window).alias("back"), F.lead("x", 3).over(s.window).alias("ahead"), F.col("_place").alias("at"), F.col("_size").alias("n")))
+    got = sorted((r["x"], r["back"], r["ahead"], r["at"], r["n"]) for r in rows.collect())
+    want = [(float(i), float(i - 5) if i >= 5 else None, float(i + 3) if i + 3 < n else None, i + 1, n) for i in range(n)]
+    assert got == want
+    assert series(df.limit(0), [], "date").rows.count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_series_refuses_repeated_dates(spark, keys):
+    df = frame(spark, a=[1, 2, 3])
+    with pytest.raises(Exception, match="repeats"):
+        series(df.unionByName(df.limit(1)), keys, "date").rows.count()
+    with pytest.raises(TypeError):
+        series(df.withColumn("date", F.to_timestamp("date")), keys, "date")
 
 
 def test_filters(spark, walks):
     wide = frame(spark, **{k: walks[k] for k in ("noise", "walk")}).groupBy("date").pivot("k", ["noise", "walk"]).agg(F.first("x"))
-    assert stats.adf_filter(wide, ["noise", "walk"], "date") == ["noise"]
-    assert stats.adf_filter(wide, ["walk"], "date") == ["walk"]  # nothing left: keep all
+    assert unit_root.adf_filter(wide, ["noise", "walk"], "date") == ["noise"]
+    assert unit_root.adf_filter(wide, ["walk"], "date") == ["walk"]  # nothing left: keep all
     flat = wide.withColumn("flat", F.lit(1.0))
     assert stats.variance_filter(flat, ["noise", "flat"]) == ["noise"]
     assert stats.variance_filter(flat, ["flat"]) == ["flat"]
