@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.shared import small_batches, text_of
+from panelweave.llm.shared import free_name, numbered, small_batches, text_of
 from panelweave.llm.tokens import encoder
 from panelweave.session import materialize
 
@@ -29,6 +29,7 @@ WELL_FILLED = 0.995
 ROUNDS = 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
+PLACES = "row long, length long, sequence_id long, offset long, good boolean"
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_OF_TEXT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,28 +104,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     """``pieces`` with sequence_id and offset; ``length`` (1 to ``capacity``) is a column of theirs.
 
     Offsets of a sequence run from 0 without a gap. All other columns stay. Repeated rows are packed
-    each; an empty table gives an empty result. A length outside the range fails the job.
+    each; an empty table gives an empty result. A length outside the range fails the job. Only numbers and
+    lengths of rows are packed; the rows themselves are joined to their places at the end.
     """
-    for name in ("sequence_id", "offset", "block", "good"):
+    for name in ("sequence_id", "offset"):
         if name in pieces.columns:
             raise ValueError(f"pieces has a column {name} already")
-    length = F.col("length")
+    length, row = F.col("length"), free_name(pieces, "row_no")
     wrong = F.raise_error(F.concat(F.lit("a length is outside 1 to capacity: "), length.cast("string")))
-    left = materialize(pieces.withColumn("length", F.when(length.between(1, capacity), length).otherwise(wrong)), "pieces")
-    schema = left.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "good": F.lit(True)}).schema
+    whole = numbered(materialize(pieces.withColumn("length", F.when(length.between(1, capacity), length).otherwise(wrong)), "pieces"), row)
+    left = materialize(whole.select(F.col(row).alias("row"), F.col("length").cast("long").alias("length")), "lengths")
     out = None
     for number in range(rounds):
         n = left.count()
         blocks = max(1, -(-n // block_pieces))
         final = number == rounds - 1 or blocks == 1
-        # Where a row lies in the written table is its own stable key, also among equal rows.
-        place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-        dealt = left.withColumn("block", F.pmod(place, F.lit(blocks)))
-        done = dealt.groupBy("block").applyInPandas(_packer(number << 56, capacity, well_filled), schema)
+        dealt = left.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+        done = dealt.groupBy("block").applyInPandas(_packer(number << 56, capacity, well_filled), PLACES)
         done = materialize(done, f"packed{number}")
-        good = (done if final else done.filter("good")).drop("good")
+        good = (done if final else done.filter("good")).select(F.col("row").alias(row), "sequence_id", "offset")
         out = good if out is None else out.unionByName(good)
         if final:
             break
-        left = materialize(done.filter("NOT good").drop("good", "sequence_id", "offset"), f"left{number}")
-    return out
+        left = materialize(done.filter("NOT good").select("row", "length"), f"left{number}")
+    return whole.join(out, row).drop(row)

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that one Arrow batch may hold; texts are long, so batches stay small.
 BATCH_ROWS = 512
+#: Bytes of texts in one Arrow batch, beyond which it ends early.
+BATCH_BYTES = 8 << 20
 #: Folds of labelled rows; fold 0 is held out.
 FOLDS = 5
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of a Python worker: no more than ``rows`` texts in one Arrow batch."""
+    """Bound the memory of a Python worker: no more than ``rows`` texts and about 8 MB in one Arrow batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(column: str = "text") -> Column:
@@ -35,15 +38,17 @@ def numbered(written: DataFrame, name: str = "row_no") -> DataFrame:
 
     What the driver gets is one count for each file, as many as tasks wrote.
     """
+    name_of, place_of, start_of = (free_name(written, n) for n in ("file", "place", "start"))
     file = F.col("_metadata.file_name")
     counts = written.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
     starts, at = [], 0
     for row in sorted(counts, key=lambda r: (int(r["file"].split("-")[1]), r["file"])):
         starts.append((row["file"], at))
         at += row["n"]
-    first = written.sparkSession.createDataFrame(starts, "file string, start long")
-    placed = written.select("*", file.alias("file"), F.col("_metadata.row_index").alias("place"))
-    return placed.join(first, "file").select(*written.columns, (F.col("start") + F.col("place")).alias(name))
+    first = written.sparkSession.createDataFrame(starts, f"{name_of} string, {start_of} long")
+    placed = written.select("*", file.alias(name_of), F.col("_metadata.row_index").alias(place_of))
+    own = [F.col(f"`{c}`") for c in written.columns]
+    return placed.join(first, name_of).select(*own, (F.col(start_of) + F.col(place_of)).alias(name))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

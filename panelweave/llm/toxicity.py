@@ -273,9 +273,18 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD, doc_
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold; all columns of the others stay."""
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold; all columns of the others stay.
+
+    Only texts pass through Python; what comes back, and is stored, is the id and text hash of the rows that go.
+    Whole rows are then read once, beside that short list. Rows with a null id are judged by their text alone;
+    rows that repeat go or stay together; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
-    name = free_name(docs, "features")
-    scored = docs.withColumn(name, clause_features(model.lexicon, text_of(text)))
-    return scored.filter(_probability(model, F.col(name)) < threshold).drop(name)
+    body = text_of(f"`{text}`")
+    out_id, out_body = free_name(docs, "gone_id"), free_name(docs, "gone_body")
+    scored = docs.select(F.col(f"`{doc_id}`").alias(out_id), F.xxhash64(body).alias(out_body), clause_features(model.lexicon, body).alias("features"))
+    gone = scored.filter(_probability(model, F.col("features")) >= threshold).select(out_id, out_body).distinct()
+    gone = materialize(gone, "toxic")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(out_id)) & (F.xxhash64(body) == F.col(out_body))
+    return docs.join(gone, same, "left_anti")

@@ -71,3 +71,19 @@ def test_empty_and_wrong(spark):
     assert pack(token_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH)).collect() == []
     with pytest.raises(Exception, match="length"):
         pack(spark.createDataFrame([(5000,)], "length long"))
+
+
+def test_clashing_columns(spark):
+    rows = [(i, 100 + i % 7, f"b{i}", True, "f", "r") for i in range(30)] + [(3, 103, "b3", True, "f", "r")]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, block string, good boolean, file string, row_no string")
+    got = pack(pieces, capacity=1000).collect()
+    assert sorted((r["doc_id"], r["length"], r["block"], r["row_no"]) for r in got) == sorted((r[0], r[1], r[2], r[5]) for r in rows)
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1000
