@@ -8,6 +8,9 @@ run. A group with a third of all rows is spread over its ranges instead of
 being sorted in one place; the join that hands out the cut points is salted
 for the same reason.
 
+Quantiles need ranks only near their places: sketches bracket each one, and only the values inside a bracket
+are ranked.
+
 The counts are stored first: several branches of the plan read them, and a
 value recomputed from a floating sum could differ in its last bit between
 branches.
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ from panelweave.session import materialize
 RANGES = 64
 SALTS = 16
 SAMPLE = 1024
+#: Accuracy of the sketches that bracket quantiles, the half width of a bracket in units of their error,
+#: and how many times wider one is made that missed.
+ACCURACY = 2_000
+MARGIN = 2.0
+WIDEN = 16
 
 
 def _range_of(value: str, lo: int, hi: int) -> str:
@@ -76,22 +84,75 @@ def ranked_values(
     )
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per name in ``probs``."""
-    ranked = ranked_values(df, keys, value)
-    aggs = []
-    for name, p in probs.items():
-        pos = (F.col("total") - 1) * F.lit(float(p))
-        for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            holds = (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-            aggs.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{side}"))
-    found = ranked.groupBy(*keys).agg(F.max("total").alias("_total"), *aggs)
-    out = []
-    for name, p in probs.items():
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*keys, *out)
+def _marks(p: float, margin: float, accuracy: int) -> tuple[float, float]:
+    """Shares between which the sketch looks for the quantile; beyond 0 and 1 the bracket is open."""
+    return p - margin / accuracy, p + margin / accuracy
+
+
+def _inside(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], margin: float, accuracy: int) -> DataFrame:
+    """(keys, _total, _at, _value, _n): for each quantile the values in its bracket, counted.
+
+    Rows below a bracket are counted under a null value; rows above it are left out. The first pass merges
+    sketches and stores the brackets, the second counts with map-side combining. What it shuffles is the few
+    values that lie in a bracket.
+    """
+    marks = [_marks(p, margin, accuracy) for p in probs]
+    asked = sorted({m for pair in marks for m in pair if 0 < m < 1})
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    size = F.count(F.lit(1)).alias("_total")
+    edges = [F.percentile_approx(value, asked, accuracy).alias("_edges")] if asked else []
+    brackets = materialize(known.groupBy(*keys).agg(size, *edges).withColumn("_one", F.lit(0)), "brackets")
+    # Without keys this is one row; with keys one row a group, and adaptive execution splits hot groups.
+    one = brackets if keys else F.broadcast(brackets)
+    near = known.withColumn("_one", F.lit(0)).join(one, ["_one", *keys])
+
+    def edge(mark: float) -> Column | None:
+        return F.col("_edges")[asked.index(mark)] if 0 < mark < 1 else None
+
+    cells = []
+    for at, (low, high) in enumerate(marks):
+        lo, hi = edge(low), edge(high)
+        v = F.col(value)
+        use = F.lit(True) if hi is None else v <= hi
+        kept = v if lo is None else F.when(v >= lo, v)
+        cells.append(F.when(use, F.struct(F.lit(at).alias("_at"), kept.alias("_value"))))
+    rows = near.select(*keys, "_total", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("_c"))
+    return rows.select(*keys, "_total", "_c.*").groupBy(*keys, "_total", "_at", "_value").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], accuracy: int = ACCURACY, margin: float = MARGIN) -> DataFrame:
+    """Exact interpolated quantiles per group, one column per name in ``probs``.
+
+    Two passes over the column: mergeable sketches give a bracket around each quantile, then the rows below it
+    are counted and the values inside it ranked by ``ranked_values``. A bracket that misses its quantile in any
+    group is widened and that pass repeated, in the end over all values, so the result is exact whatever the
+    sketch gives. Nulls and rows with a missing key are skipped; a group without values has no row, a whole
+    table without values one of nulls. Runs jobs.
+    """
+    shares = [float(p) for p in probs.values()]
+    while True:
+        cells = materialize(_inside(df, keys, value, shares, margin, accuracy), "inside")
+        below = F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_n"))), F.lit(0)).alias("_below")
+        inside = F.coalesce(F.sum(F.when(F.col("_value").isNotNull(), F.col("_n"))), F.lit(0)).alias("_in")
+        share = F.element_at(F.array(*[F.lit(p) for p in shares]), F.col("_at") + 1)
+        pos = (F.col("_total") - 1) * share
+        parts = cells.groupBy(*keys, "_total", "_at").agg(below, inside).withColumn("_pos", pos)
+        hit = (F.col("_below") <= F.floor("_pos")) & (F.ceil("_pos") < F.col("_below") + F.col("_in"))
+        if margin >= accuracy or parts.filter(~hit).isEmpty():
+            break
+        margin *= WIDEN
+    ranked = ranked_values(cells, [*keys, "_at"], "_value", weight="_n").withColumnRenamed("total", "_ranked")
+    placed = ranked.join(parts, [*keys, "_at"])
+    first = F.col("_below") + F.col("below")
+
+    def holds(k: Column) -> Column:
+        return F.max(F.when((first <= k) & (k < first + F.col("n")), F.col("_value")))
+
+    ends = placed.groupBy(*keys, "_at", "_pos").agg(holds(F.floor("_pos")).alias("_lo"), holds(F.ceil("_pos")).alias("_hi"))
+    each = ends.select(*keys, "_at", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))).alias("_q"))
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == at, F.col("_q"))).alias(name) for at, name in enumerate(probs)])
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:

@@ -26,6 +26,26 @@ def test_quantiles_match(skewed):
             assert got[k][name] == pytest.approx(np.quantile(vs, p))
 
 
+def test_brackets_that_miss_are_widened(skewed):
+    groups, df = skewed
+    got = {r["k"]: r for r in ranks.quantiles(df, ["k"], "v", PROBS, accuracy=20, margin=0.001).collect()}
+    for k, vs in groups.items():
+        for name, p in PROBS.items():
+            assert got[k][name] == pytest.approx(np.quantile(vs, p))
+    assert ranks.quantiles(df.limit(0), ["k"], "v", PROBS).count() == 0
+    assert set(ranks.quantiles(df.limit(0), [], "v", PROBS).first()) == {None}
+
+
+def test_a_value_in_a_third_of_the_rows(spark):
+    df = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_000)) / 1e4).alias("v"))
+    want = np.array([r[0] for r in df.collect()])
+    got = ranks.quantiles(df, [], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}).first()
+    for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q99", 0.99)):
+        assert got[name] == pytest.approx(np.quantile(want, p))
+    inside = ranks._inside(df, [], "v", [0.5], ranks.MARGIN, ranks.ACCURACY)
+    assert inside.count() < 1_000  # of about 45,000 distinct values
+
+
 def test_ranks_match(skewed):
     groups, df = skewed
     rows = ranks.ranked_values(df, ["k"], "v").collect()
