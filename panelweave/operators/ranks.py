@@ -155,7 +155,49 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == at, F.col("_q"))).alias(name) for at, name in enumerate(probs)])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Rank per distinct value, ties sharing their average."""
-    ranked = ranked_values(df, keys, value, weight=weight)
-    return ranked.select(*keys, value, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank"))
+def with_average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str, tie: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """``df`` with the rank of ``value`` in its group as ``name``; ties share their average rank.
+
+    A row stands for ``weight`` equal ones. Rows are cut into ranges of (value, hash of ``tie``) and ranked per
+    range, so a value that a third of the rows have is spread over several ranges; what such a value's ranges
+    have in common is settled on one summary row per range. Ranks stay with their rows: nothing is joined on
+    values. ``value`` and the keys are not null. Stores the cut points (runs a job).
+    """
+    point = F.struct(F.col(value).alias("v"), F.xxhash64(tie).alias("h"))
+    spread = F.xxhash64(F.col(value), F.col(tie))
+    slots = df.groupBy(*keys, F.pmod(spread, F.lit(SAMPLE)).alias("_slot")).agg(F.min_by(point, F.struct(F.xxhash64(spread), point)).alias("_p"))
+    sample = slots.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_s"))
+    marks = f"transform(sequence(1, {ranges - 1}), i -> get(_s, CAST(floor(i * size(_s) / {ranges}) AS INT)))"
+    cuts = materialize(sample.select(*keys, F.expr(marks).alias("_cuts")), "cuts")
+    cut = df.join(cuts, list(keys)).withColumn("_point", point).withColumn("_range", F.expr(_range_of("_point", 0, ranges - 1)))
+    inside = W.partitionBy(*keys, "_range")
+    ranked = cut.drop("_cuts", "_point").withColumns(
+        {"_upto": F.sum(weight).over(inside.orderBy(value)), "_ties": F.sum(weight).over(W.partitionBy(*keys, "_range", value))}
+    )
+    ends = ranked.groupBy(*keys, "_range").agg(
+        F.sum(weight).alias("n"), F.min(F.struct(F.col(value).alias("v"), F.col("_ties").alias("w"))).alias("first"), F.max(F.struct(F.col(value).alias("v"), F.col("_ties").alias("w"))).alias("last")
+    )
+    each = ends.groupBy(*keys).agg(F.collect_list(F.struct("_range", "n", "first", "last")).alias("_all"))
+
+    def total(part) -> Column:
+        return F.aggregate("_all", F.lit(0).cast("long"), lambda s, r: s + part(r))
+
+    def below(v: Column) -> Column:
+        """Rows of the group below ``v``, the first or last value of a range."""
+        return total(lambda r: F.when(r["last"]["v"] < v, r["n"]).when((r["first"]["v"] < v) & (r["last"]["v"] == v), r["n"] - r["last"]["w"]).otherwise(0))
+
+    def ties(v: Column) -> Column:
+        return total(lambda r: F.when(r["first"]["v"] == v, r["first"]["w"]).when(r["last"]["v"] == v, r["last"]["w"]).otherwise(0))
+
+    one = each.select(*keys, "_all", F.explode("_all").alias("_r"))
+    first, last = F.col("_r.first.v"), F.col("_r.last.v")
+    start = total(lambda r: F.when(r["_range"] < F.col("_r._range"), r["n"]).otherwise(0))
+    summary = one.select(
+        *keys, F.col("_r._range").alias("_range"), start.alias("_start"), first.alias("_first"), last.alias("_last"),
+        below(first).alias("_first_below"), ties(first).alias("_first_ties"), below(last).alias("_last_below"), ties(last).alias("_last_ties"),
+    )
+    at = ranked.join(summary, [*keys, "_range"])
+    v = F.col(value)
+    lower = F.when(v == F.col("_first"), F.col("_first_below")).when(v == F.col("_last"), F.col("_last_below")).otherwise(F.col("_start") + F.col("_upto") - F.col("_ties"))
+    equal = F.when(v == F.col("_first"), F.col("_first_ties")).when(v == F.col("_last"), F.col("_last_ties")).otherwise(F.col("_ties"))
+    return at.select(*[F.col(f"`{c}`") for c in df.columns], (lower + (equal + 1) / F.lit(2.0)).alias(name))

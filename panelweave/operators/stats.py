@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelweave import fixed_values as fv
 from panelweave.functions.columns import clamp_unit, pearson, ratio
 from panelweave.operators.checks import require_date
-from panelweave.operators.ranks import average_ranks
+from panelweave.operators.ranks import with_average_ranks
 from panelweave.operators.series import series
 from panelweave.operators.windows import series_window
 from panelweave.session import materialize
@@ -52,9 +52,8 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     """Rank correlation per column pair, ranks taken over the rows both columns have.
 
     Rows are first folded to distinct value pairs with a count, so ties shrink
-    the data before any shuffle, and ranks come from the range-split ranking.
-    The folded pairs are stored first (runs jobs), because the ranks are joined
-    back on the values themselves.
+    the data before any shuffle. The folded pairs are stored (runs jobs), then
+    each column is ranked once, by ranges of values, and ranks stay with their rows.
     """
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _quoted(a).cast("double").alias("x"), _quoted(b).cast("double").alias("y"))
@@ -67,10 +66,9 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
         .agg(F.count(F.lit(1)).alias("w")),
         "pairs",
     )
-    rx = average_ranks(points, ["a", "b"], "x", weight="w").withColumnRenamed("avg_rank", "rx")
-    ry = average_ranks(points, ["a", "b"], "y", weight="w").withColumnRenamed("avg_rank", "ry")
     size = points.groupBy("a", "b").agg(F.sum("w").alias("n"))
-    ranked = points.join(rx, ["a", "b", "x"]).join(ry, ["a", "b", "y"]).join(size, ["a", "b"])
+    ranked = with_average_ranks(points, ["a", "b"], "x", "w", "y", "rx")
+    ranked = with_average_ranks(ranked, ["a", "b"], "y", "w", "x", "ry").join(size, ["a", "b"])
     mid = (F.col("n") + 1) / F.lit(2.0)
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")
     sums = ranked.groupBy("a", "b").agg(

@@ -84,3 +84,21 @@ def test_spearman_against_pandas(spark):
     got = {(r["a"], r["b"]): r["r"] for r in stats.corr_pairs(df, ["a", "b", "c"], "spearman").collect()}
     assert got["a", "b"] == pytest.approx(want)
     assert got["a", "c"] is None
+
+
+def test_ranks_of_a_hot_value(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(6000) < 0.35, 5.0, np.round(rng.normal(5, 3, 6000), 1))
+    pdf = pd.DataFrame({"k": "a", "x": x, "y": rng.permutation(6000).astype(float)})
+    pdf = pd.concat([pdf, pd.DataFrame({"k": "b", "x": [1.0] * 40, "y": range(40)}), pd.DataFrame({"k": "c", "x": [3.0], "y": [1.0]})])
+    df = spark.createDataFrame(list(pdf.itertuples(index=False, name=None)), "k string, x double, y double").withColumn("w", F.lit(1).cast("long"))
+    rows = ranks.with_average_ranks(df, ["k"], "x", "w", "y", "rank", ranges=16)
+    got = {(r["k"], r["y"]): r["rank"] for r in rows.collect()}
+    want = pdf.groupby("k")["x"].rank()
+    assert got == {(k, y): rank for k, y, rank in zip(pdf["k"], pdf["y"], want, strict=True)}
+    weighted = df.groupBy("k", "x").agg(F.sum("w").alias("w"), F.min("y").alias("y"))
+    light = {(r["k"], r["x"]): r["rank"] for r in ranks.with_average_ranks(weighted, ["k"], "x", "w", "y", "rank", ranges=16).collect()}
+    assert light == {(k, x): rank for k, x, rank in zip(pdf["k"], pdf["x"], want, strict=True)}
+    assert ranks.with_average_ranks(df.limit(0), ["k"], "x", "w", "y", "rank").count() == 0
