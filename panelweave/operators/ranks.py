@@ -36,12 +36,12 @@ MARGIN = 2.0
 WIDEN = 16
 
 
-def _range_of(value: str, lo: int, hi: int) -> str:
-    """SQL for how many cut points a value has passed, as a balanced tree of comparisons."""
+def _range_of(value: str, lo: int, hi: int, than: str = "<=") -> str:
+    """SQL for how many cut points a value has reached (or, with <, passed), as a balanced tree of comparisons."""
     if lo == hi:
         return str(lo)
     mid = (lo + hi) // 2
-    return f"IF(get(_cuts, {mid}) <= `{value}`, {_range_of(value, mid + 1, hi)}, {_range_of(value, lo, mid)})"
+    return f"IF(get(_cuts, {mid}) {than} `{value}`, {_range_of(value, mid + 1, hi, than)}, {_range_of(value, lo, mid, than)})"
 
 
 def ranked_values(
@@ -158,22 +158,22 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
 def with_average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str, tie: str, name: str, ranges: int = RANGES) -> DataFrame:
     """``df`` with the rank of ``value`` in its group as ``name``; ties share their average rank.
 
-    A row stands for ``weight`` equal ones. Rows are cut into ranges of (value, hash of ``tie``) and ranked per
-    range, so a value that a third of the rows have is spread over several ranges; what such a value's ranges
-    have in common is settled on one summary row per range. Ranks stay with their rows: nothing is joined on
-    values. ``value`` and the keys are not null. Stores the cut points (runs a job).
+    A row stands for ``weight`` equal ones. Sketches give the cut points. A value that a third of the rows have
+    is several cut points at once, and its rows are dealt over the ranges between them by a hash of ``tie``;
+    what the ranges of a value have in common is settled on one summary row per range. Ranks stay with their
+    rows: nothing is joined on values. ``value`` and the keys are not null. Stores the cut points, the rows
+    with their place in a range, and the summaries (runs jobs).
     """
-    point = F.struct(F.col(value).alias("v"), F.xxhash64(tie).alias("h"))
-    spread = F.xxhash64(F.col(value), F.col(tie))
-    slots = df.groupBy(*keys, F.pmod(spread, F.lit(SAMPLE)).alias("_slot")).agg(F.min_by(point, F.struct(F.xxhash64(spread), point)).alias("_p"))
-    sample = slots.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_s"))
-    marks = f"transform(sequence(1, {ranges - 1}), i -> get(_s, CAST(floor(i * size(_s) / {ranges}) AS INT)))"
-    cuts = materialize(sample.select(*keys, F.expr(marks).alias("_cuts")), "cuts")
-    cut = df.join(cuts, list(keys)).withColumn("_point", point).withColumn("_range", F.expr(_range_of("_point", 0, ranges - 1)))
+    marks = [i / ranges for i in range(1, ranges)]
+    cuts = materialize(df.groupBy(*keys).agg(F.percentile_approx(value, marks, ACCURACY).alias("_cuts")), "cuts")
+    passed, reached = F.expr(_range_of(value, 0, ranges - 1, "<")), F.expr(_range_of(value, 0, ranges - 1))
+    dealt = passed + F.pmod(F.xxhash64(tie), reached - passed + 1)
+    cut = df.join(cuts, list(keys)).withColumn("_range", dealt.cast("int"))
     inside = W.partitionBy(*keys, "_range")
-    ranked = cut.drop("_cuts", "_point").withColumns(
+    ranked = cut.drop("_cuts").withColumns(
         {"_upto": F.sum(weight).over(inside.orderBy(value)), "_ties": F.sum(weight).over(W.partitionBy(*keys, "_range", value))}
     )
+    ranked = materialize(ranked, "ranges")
     ends = ranked.groupBy(*keys, "_range").agg(
         F.sum(weight).alias("n"), F.min(F.struct(F.col(value).alias("v"), F.col("_ties").alias("w"))).alias("first"), F.max(F.struct(F.col(value).alias("v"), F.col("_ties").alias("w"))).alias("last")
     )
@@ -196,7 +196,7 @@ def with_average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: s
         *keys, F.col("_r._range").alias("_range"), start.alias("_start"), first.alias("_first"), last.alias("_last"),
         below(first).alias("_first_below"), ties(first).alias("_first_ties"), below(last).alias("_last_below"), ties(last).alias("_last_ties"),
     )
-    at = ranked.join(summary, [*keys, "_range"])
+    at = ranked.join(materialize(summary, "summary"), [*keys, "_range"])
     v = F.col(value)
     lower = F.when(v == F.col("_first"), F.col("_first_below")).when(v == F.col("_last"), F.col("_last_below")).otherwise(F.col("_start") + F.col("_upto") - F.col("_ties"))
     equal = F.when(v == F.col("_first"), F.col("_first_ties")).when(v == F.col("_last"), F.col("_last_ties")).otherwise(F.col("_ties"))
