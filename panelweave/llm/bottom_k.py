@@ -31,7 +31,7 @@ from panelweave.session import materialize
 
 WORDS, PERCENT = 3, 85
 #: Values in a sketch, and those a set is listed under.
-SKETCH, LISTED = 64, 24
+SKETCH, LISTED = 64, 12
 #: Sets that retain a value for it to be common, and common values that are remembered: the most frequent.
 COMMON_SETS, COMMON_MAX = 64, 200_000
 #: Chance that the estimate rules out a pair at the threshold.
@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     is_short = F.col("size") <= linking.SMALL_LIST
     short = member.filter(is_short).groupBy("value").agg(F.array_sort(F.collect_list("key")).alias("members")).select("members").distinct()
     long = member.filter(~is_short).select(F.col("value").alias("bucket"), "key")
-    found = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated)
-    out = linking.component_rows(rows, classes, found)
+    label = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated)
+    out = linking.component_rows(rows, classes, label)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -331,8 +331,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     agreeing = agreeing.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     short = buckets.filter("NOT long").select("members").distinct()
     long = buckets.filter("long").select("bucket", F.explode("members").alias("key")).distinct()
-    found = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated)
-    return linking.component_rows(rows, classes, found)
+    label = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated)
+    return linking.component_rows(rows, classes, label)
 
 
 def near_duplicates_dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A class is the documents with one and the same set, named by a hash of it. Candidates are lists of
 classes that agree in something. First every class meets the one it agrees most with, then lists that
-still hold several components go on: short ones pair by pair, long ones a few leaders at a time, until
+still hold several components go on: short ones pair by pair, long ones some leaders at a time, until
 no untested pair of different components is left in any list. Tests run over whole sets: members are
 routed to their leader, whose text travels once for each run of members, and a task streams them.
 """
@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.components import components
+from panelweave.llm.components import components, extended
 from panelweave.session import materialize
 
 #: Members of a list that may be compared pair by pair; in longer ones a few at a time meet the others.
 SMALL_LIST = 32
-#: Members of a long list that meet the others in the first round, and how many times more in each next one.
+#: Members of a long list that meet the others in the first round, and how many times more in each next one, at least.
 LEADERS, GROWTH = 32, 4
+#: Pairs for each class up to which a round over long lists takes more leaders: few pairs need few rounds.
+ROUND_PAIRS = 16
 #: Members that meet one copy of their leader.
 RUN = 200
 #: Keys (16 bytes each) up to which the classes to be read are broadcast.
@@ -84,7 +86,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
     texts = _texts(pairs, docs, classes, repeated)
     large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN).select("a", F.ceil(F.col("n") / RUN).alias("runs"))
     dealt = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("runs", F.lit(1))).alias("run"))
-    dealt = materialize(dealt, "dealt")
     leaders = dealt.select("a", "run").distinct().join(texts, F.col("a") == F.col("key")).select("a", "run", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     members = dealt.join(texts, F.col("b") == F.col("key")).select("a", "run", F.lit(1).alias("kind"), "b", "text")
     stream = leaders.unionByName(members).repartition("a", "run").sortWithinPartitions("a", "run", "kind")
@@ -114,8 +115,9 @@ def _sides(df: DataFrame) -> DataFrame:
 def links(
     docs: DataFrame, classes: DataFrame, agreeing: DataFrame, short: DataFrame, long: DataFrame, likely: Callable[[DataFrame], DataFrame], measure: Measure, repeated: bool
 ) -> DataFrame:
-    """Similar pairs (a, b) of class keys that connect all that similar pairs in a list connect.
+    """The component (its smallest key) of each class key with a link: node, component.
 
+    Links are similar pairs of a list; those tested connect all that similar pairs of any list connect.
     ``agreeing`` has (a, b, weight): what class b agrees in with list heads a. ``short`` has members,
     ``long`` (bucket, key). ``likely`` keeps the pairs that may be similar; ``classes`` has key and first.
     """
@@ -129,56 +131,70 @@ def links(
 
     best = agreeing.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a"))
     tested = materialize(_sides(best.select("a", "b")), "tested")
-    found = test(tested.select("a", "b"))
-    found = tested.limit(0).select("a", "b") if found is None else found
+    met = test(tested.select("a", "b"))
+    label = components(tested.limit(0).select("a", "b") if met is None else met)
 
-    def more(pairs: DataFrame) -> bool:
-        """Whether there are links among the pairs not tested before."""
-        nonlocal tested, found
-        new = _sides(pairs).dropDuplicates(["low", "high"])
-        new = materialize(new.join(tested.select("low", "high"), ["low", "high"], "left_anti").select("a", "b", "low", "high"), "more")
-        met = test(new.select("a", "b"))
-        tested = tested.unionByName(new)
-        if met is not None:
-            found = found.unionByName(met)
-        return met is not None
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
 
-    label = materialize(components(found), "labels")
-    each = short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key"))
-    each = each.join(label.withColumnRenamed("node", "key"), "key", "left").select("row", "key", F.coalesce("component", "key").alias("label"))
+    each = labelled(short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key")))
     mixed = each.groupBy("row").agg(F.min("label").alias("least"), F.max("label").alias("greatest"), F.collect_set(F.struct("key", "label")).alias("members")).filter("least <> greatest")
     at = F.col("members")
     of_two = F.flatten(F.transform(at, lambda x: F.transform(F.filter(at, lambda y: (y["key"] > x["key"]) & (y["label"] != x["label"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
-    if more(mixed.select(F.explode(of_two).alias("p")).select("p.a", "p.b")):
-        label = materialize(components(found), "labels")
+    waiting = mixed.select(F.explode(of_two).alias("p")).select("p.a", "p.b")  # go with the first round over long lists
 
     # Long lists: a class's rank in a list comes from its hash; classes of lower ranks have met all others.
-    # Each round has several times as many leaders as the one before.
-    sizes = long.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.shiftright(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n"), 30)
-    ranked = materialize(long.join(sizes, "bucket").select("bucket", "key", "n", rank.alias("rank")), "long")
-    most = ranked.agg(F.max("n").alias("n")).first()["n"] or 0
-    low, high = 0, LEADERS
-    while low < most:
-        left = ranked.join(label.withColumnRenamed("node", "key"), "key", "left")
-        left = materialize(left.select("bucket", "key", "rank", F.coalesce("component", "key").alias("label")), "left")
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
-        open_ = materialize(left.filter(F.col("rank") >= low).join(mixed, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("a"), F.col("label").alias("its"))
-        if more(open_.join(leaders, "bucket").filter("label <> its").select("a", F.col("key").alias("b")).distinct()):
-            label = materialize(components(found), "labels")
-        low, high = high, GROWTH * high
-    return found
-
-
-def component_rows(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    sizes = long.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rank = F.shiftright(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("size"), 30)
+    ranked = materialize(long.join(sizes, "bucket").select("bucket", "key", "size", rank.alias("rank")), "long")
+    enough = ROUND_PAIRS * max(1, classes.count())
+    low = 0
+    while True:
+        left = labelled(ranked)
+        several = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
+        open_ = materialize(left.filter(F.col("rank") >= low).join(several, "bucket"), "open")
+        high, more = _next_rank(open_, low, enough)
+        pairs = waiting
+        if more:
+            leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("a"), F.col("label").alias("its"))
+            met_by = open_.join(leaders, "bucket").filter("label <> its").select("a", F.col("key").alias("b"))
+            pairs = met_by if pairs is None else pairs.unionByName(met_by)
+        if pairs is None:
+            return label
+        new = _sides(pairs).dropDuplicates(["low", "high"])
+        new = materialize(new.join(tested.select("low", "high"), ["low", "high"], "left_anti").select("a", "b", "low", "high"), "more")
+        met = test(new.select("a", "b"))
+        if met is not None:
+            label = extended(label, met)
+        if not more or more == "last":
+            return label
+        tested = tested.unionByName(new)
+        waiting, low = None, high
+
+
+def _next_rank(open_: DataFrame, low: int, enough: int) -> tuple[int, str]:
+    """Rank below which members lead the next round, and "some" or "last" if that leaves some or none, "" if no list is open.
+
+    It is GROWTH times ``low``, or as many times more as give no more than ``enough`` pairs.
+    """
+    start = GROWTH * low or LEADERS
+    steps = [start * GROWTH**k for k in range(16)]
+    ranks = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *[F.count_if(F.col("rank") < h).alias(f"lead{k}") for k, h in enumerate(steps)], F.max("rank").alias("top"))
+    costs = ranks.agg(F.max("top").alias("top"), *[F.sum(F.col("members") * F.col(f"lead{k}")).alias(f"pairs{k}") for k in range(len(steps))]).first()
+    if costs["top"] is None:
+        return low, ""
+    high = max([start, *[h for k, h in enumerate(steps) if costs[f"pairs{k}"] <= enough]])
+    return high, "last" if costs["top"] < high else "some"
+
+
+def component_rows(rows: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of ``rows`` (doc_id, n, key); rows without a set are alone.
 
+    ``label`` has the components of class keys, as ``links`` gives them.
+
     A component has the smallest doc_id of its rows; null ids never name one that has another.
     """
-    named = components(found).withColumnRenamed("node", "key")  # component: the smallest key
+    named = label.withColumnRenamed("node", "key")  # component: the smallest key
     home = classes.join(named, "key", "left").select("key", "first.doc_id", F.coalesce("component", "key").alias("component"))
     least = home.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     home = home.join(least, "component").select("key", "component_id")

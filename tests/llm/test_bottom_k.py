@@ -67,7 +67,7 @@ def test_estimate():
 @pytest.mark.parametrize("small", [False, True])
 def test_matches_brute_force(spark, monkeypatch, small):
     if small:  # all roads: common values, long lists, several runs of a leader
-        for module, name, value in ((bottom_k, "COMMON_SETS", 3), (linking, "SMALL_LIST", 3), (linking, "LEADERS", 8), (linking, "RUN", 3), (linking, "BROADCAST_KEYS", 0), (bottom_k, "SEEN", 5)):
+        for module, name, value in ((bottom_k, "COMMON_SETS", 3), (linking, "SMALL_LIST", 3), (linking, "LEADERS", 8), (linking, "ROUND_PAIRS", 1), (linking, "RUN", 3), (linking, "BROADCAST_KEYS", 0), (bottom_k, "SEEN", 5)):
             monkeypatch.setattr(module, name, value)
     texts = corpus()
     base = prose(150)

@@ -92,7 +92,7 @@ def test_matches_brute_force(spark, monkeypatch, small):
     if small:  # all roads: many parts, common segments, chunks and large buckets
         for name, value in (("PART_SIGNATURES", 500), ("COMMON_TIMES", 3), ("CHUNK", 7), ("SPREAD", 3), ("SEEN", 5)):
             monkeypatch.setattr(jaccard_join, name, value)
-        for name, value in (("SMALL_LIST", 4), ("LEADERS", 8), ("RUN", 3), ("BROADCAST_KEYS", 0)):
+        for name, value in (("SMALL_LIST", 4), ("LEADERS", 8), ("ROUND_PAIRS", 1), ("RUN", 3), ("BROADCAST_KEYS", 0)):
             monkeypatch.setattr(linking, name, value)
     rows = [(i * 3 + 5, t) for i, t in enumerate(corpus())] + [(8, "one two three"), (8, "repeated id"), (None, "one two"), (None, "only null id")]
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, n int").repartition(4)
