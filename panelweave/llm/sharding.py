@@ -1,11 +1,11 @@
 """Shards by a weighted hash tree of regions, racks and shards.
 
-A row descends the tree. At each node every child draws a number from the row's key and its own
-name, exponentially distributed with the child's weight as rate; the smallest draw wins, so each
-child takes a share in proportion to its weight. A draw depends on that child alone: when weights
-change, a row can only move into a subtree whose weight grew or out of one whose weight shrank, and
-all choices in other subtrees stand. A shard that opens a region of its own therefore takes rows into
-itself and moves no other.
+A row descends the tree, at each node into the child with the smallest draw. A shard draws a number
+from the row's key and its own name, exponentially distributed with its weight as rate; a rack or
+region draws the least of what its shards draw, which is exponential with the sum of their weights, so
+each child takes a share in proportion to its weight. A row that a growing subtree gains therefore
+descends to the very shard that grew, and one that a shrinking subtree loses comes from the shard that
+shrank: whatever the number of shards, one more takes rows into itself and moves no other.
 """
 
 from __future__ import annotations
@@ -55,26 +55,21 @@ def uniform_tree(shards: int, weights: dict[int, float] | None = None) -> Node:
 
 
 def _draw(key: Column, node: Node) -> Column:
-    """Exponential draw with the node's weight as rate, from 53 bits of the hash of name and key."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(node.name), key), 11)
-    return -F.log((bits + 0.5) / float(1 << 53)) / node.weight
+    """A node's draw and the shard that the descent from it ends in.
+
+    A shard's draw comes from 53 bits of the hash of name and key.
+    """
+    if node.shard is not None:
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(node.name), key), 11)
+        return F.struct((-F.log((bits + 0.5) / float(1 << 53)) / node.own_weight).alias("draw"), F.lit(node.shard).alias("shard"))
+    return F.array_min(F.array(*[_draw(key, c) for c in node.children if c.weight > 0]))
 
 
 def place(key: Column, tree: Node) -> Column:
     """Shard number for ``key``; null keys all take the same shard. Subtrees without weight take nothing."""
-    live = [c for c in tree.children if c.weight > 0]
-    if not live:
+    if tree.weight <= 0:
         raise ValueError(f"{tree.name} has no weight")
-    end = [F.lit(c.shard) if c.shard is not None else place(key, c) for c in live]
-    if len(live) == 1:
-        return end[0]
-    won = F.array_min(F.array(*[F.struct(_draw(key, c).alias("draw"), F.lit(i).alias("child")) for i, c in enumerate(live)]))["child"]
-    if all(c.shard is not None for c in live):
-        return F.element_at(F.array(*end), won + 1)
-    chosen = end[-1]
-    for i in reversed(range(len(live) - 1)):
-        chosen = F.when(won == i, end[i]).otherwise(chosen)
-    return chosen
+    return _draw(key, tree)["shard"]
 
 
 def shard_documents(docs: DataFrame, tree: Node, grown: Node | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
