@@ -126,12 +126,16 @@ def _best_lags(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _statistic(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and statistic: the level's coefficient over its standard error."""
-    swept = moments.withColumn("_swept", _swept())
+    """keys and statistic: the level's coefficient over its standard error.
+
+    Stored, moments and result: a condition on the p-value would else carry the sweep into each of its terms.
+    """
+    swept = materialize(moments, "moments").withColumn("_swept", _swept())
     regressors, last = F.col("_k") - 1, F.col("_k") - 1
     rss = F.element_at("_swept.rss", -1)
     good = swept.filter(_usable(rss, regressors))
-    return good.select(*keys, (F.col("_swept.a")[1][last] / F.sqrt(rss / (F.col("_m") - regressors) * F.col("_swept.a")[1][1])).alias("statistic"))
+    out = good.select(*keys, (F.col("_swept.a")[1][last] / F.sqrt(rss / (F.col("_m") - regressors) * F.col("_swept.a")[1][1])).alias("statistic"))
+    return materialize(out, "statistics")
 
 
 def unit_root(long: DataFrame, keys: Sequence[str], order: str, value: str, lags: int | None = None, min_n: int = fv.MIN_SERIES_SAMPLES) -> DataFrame:
@@ -140,8 +144,9 @@ def unit_root(long: DataFrame, keys: Sequence[str], order: str, value: str, lags
     ``lags`` fixes the lag order; without it the information criterion chooses among orders up to
     ``most_lags(n)``, all judged over the same rows. Null values are passed over. Series of fewer than
     ``min_n`` values, flat ones, and those whose regression has no solution have null results. The order
-    column is a DATE that does not repeat in a series. Runs one job for the series' sizes and, to choose the
-    order, one that stores the changes and one that stores the moments.
+    column is a DATE that does not repeat in a series. Runs one job for the series' sizes, two that store the
+    moments and the statistics, and, to choose the order, one that stores the changes and two that store the
+    moments of all orders and the orders chosen.
     """
     keys = list(keys)
     sizes = long.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +155,7 @@ def unit_root(long: DataFrame, keys: Sequence[str], order: str, value: str, lags
         reach = max(0, most_lags(largest))
         rows = materialize(_changes(long, keys, order, value, reach), "changes").filter(F.col("n") >= min_n)
         most = F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 2).cast("int")
-        chosen = _best_lags(_moments(rows.filter(most >= 0), keys, most), keys)
+        chosen = materialize(_best_lags(_moments(rows.filter(most >= 0), keys, most), keys), "lags")
         rows = rows.join(chosen, keys)
         tested = _statistic(_moments(rows, keys, F.col("lags")), keys).join(chosen, keys)
     else:

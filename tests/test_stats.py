@@ -119,6 +119,11 @@ def test_filters(spark, walks):
     assert stats.variance_filter(flat, ["flat"]) == ["flat"]
 
 
+def test_condition_on_the_p_value_does_not_repeat_the_sweep(spark, walks):
+    rows = unit_root.adf_table(frame(spark, **walks), "k", "date", "x").filter(F.col("p_value") <= 0.05)
+    assert "1.0E-10" not in rows._jdf.queryExecution().optimizedPlan().toString()  # SINGULAR, in every sweep
+
+
 def test_partial_autocorrelation(spark, walks):
     y = walks["noise"] - walks["noise"].mean()
     rho = np.array([(y[k:] * y[: len(y) - k]).sum() for k in range(9)]) / (y * y).sum()
