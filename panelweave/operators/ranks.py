@@ -36,12 +36,19 @@ MARGIN = 2.0
 WIDEN = 16
 
 
-def _range_of(value: str, lo: int, hi: int, than: str = "<=") -> str:
-    """SQL for how many cut points a value has reached (or, with <, passed), as a balanced tree of comparisons."""
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"IF(get(_cuts, {mid}) {than} `{value}`, {_range_of(value, mid + 1, hi, than)}, {_range_of(value, lo, mid, than)})"
+def _range_of(value: str, ranges: int, passed: bool = False) -> Column:
+    """How many of the sorted ``_cuts``, fewer than ``ranges``, a value has reached or, if ``passed``, left behind.
+
+    A binary search in a loop: the same comparisons written out are too large a method for the JVM to compile.
+    """
+    steps = [1 << k for k in reversed(range((ranges - 1).bit_length()))]
+    v = F.col(f"`{value}`")
+
+    def taken(at: Column, step: Column) -> Column:
+        cut = F.get("_cuts", at + step - 1)
+        return F.when(cut < v if passed else cut <= v, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), taken) if steps else F.lit(0)
 
 
 def ranked_values(
@@ -70,7 +77,7 @@ def ranked_values(
         # one row of cut points for the whole table: a broadcast of 64 numbers
         one = F.broadcast(cuts.withColumn("_salt", F.lit(0).cast("bigint")))
         cut = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(1))).join(one, "_salt", "inner").drop("_salt")
-    cut = cut.withColumn("_range", F.expr(_range_of(value, 0, ranges - 1))).drop("_cuts")
+    cut = cut.withColumn("_range", _range_of(value, ranges)).drop("_cuts")
     before = W.partitionBy(*keys, F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
@@ -155,18 +162,28 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == at, F.col("_q"))).alias(name) for at, name in enumerate(probs)])
 
 
-def with_average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str, tie: str, name: str, ranges: int = RANGES) -> DataFrame:
+def rank_cuts(df: DataFrame, keys: Sequence[str], values: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """(keys, _cuts_<value>): stored cut points between ranges of each column's values in a group, by sketches, in one pass."""
+    marks = [i / ranges for i in range(1, ranges)]
+    return materialize(df.groupBy(*keys).agg(*[F.percentile_approx(v, marks, ACCURACY).alias(f"_cuts_{v}") for v in values]), "cuts")
+
+
+def with_average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, tie: str, name: str, ranges: int = RANGES, cuts: DataFrame | None = None
+) -> DataFrame:
     """``df`` with the rank of ``value`` in its group as ``name``; ties share their average rank.
 
     A row stands for ``weight`` equal ones. Sketches give the cut points. A value that a third of the rows have
     is several cut points at once, and its rows are dealt over the ranges between them by a hash of ``tie``;
     what the ranges of a value have in common is settled on one summary row per range. Ranks stay with their
     rows: nothing is joined on values. ``value`` and the keys are not null. Stores the cut points, the rows
-    with their place in a range, and the summaries (runs jobs).
+    with their place in a range, and the summaries (runs jobs). ``cuts`` are those of ``rank_cuts`` over rows with
+    the same values, if they are known.
     """
-    marks = [i / ranges for i in range(1, ranges)]
-    cuts = materialize(df.groupBy(*keys).agg(F.percentile_approx(value, marks, ACCURACY).alias("_cuts")), "cuts")
-    passed, reached = F.expr(_range_of(value, 0, ranges - 1, "<")), F.expr(_range_of(value, 0, ranges - 1))
+    if cuts is None:
+        cuts = rank_cuts(df, keys, [value], ranges)
+    cuts = cuts.select(*keys, F.col(f"_cuts_{value}").alias("_cuts"))
+    passed, reached = _range_of(value, ranges, passed=True), _range_of(value, ranges)
     dealt = passed + F.pmod(F.xxhash64(tie), reached - passed + 1)
     cut = df.join(cuts, list(keys)).withColumn("_range", dealt.cast("int"))
     inside = W.partitionBy(*keys, "_range")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelweave import fixed_values as fv
 from panelweave.functions.columns import clamp_unit, pearson, ratio
 from panelweave.operators.checks import require_date
-from panelweave.operators.ranks import with_average_ranks
+from panelweave.operators.ranks import rank_cuts, with_average_ranks
 from panelweave.operators.series import series
 from panelweave.operators.windows import series_window
 from panelweave.session import materialize
@@ -54,28 +54,24 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     Rows are first folded to distinct value pairs with a count, so ties shrink
     the data before any shuffle. The folded pairs are stored (runs jobs), then
     each column is ranked once, by ranges of values, and ranks stay with their rows.
+    Up to there a pair of columns is its number, not its names, and the cut points
+    of both columns come from one pass over the folded pairs.
     """
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _quoted(a).cast("double").alias("x"), _quoted(b).cast("double").alias("y"))
-        for a, b in pairs
-    ]
-    points = materialize(
-        df.select(F.inline(F.array(*cells)))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("a", "b", "x", "y")
-        .agg(F.count(F.lit(1)).alias("w")),
-        "pairs",
-    )
-    size = points.groupBy("a", "b").agg(F.sum("w").alias("n"))
-    ranked = with_average_ranks(points, ["a", "b"], "x", "w", "y", "rx")
-    ranked = with_average_ranks(ranked, ["a", "b"], "y", "w", "x", "ry").join(size, ["a", "b"])
+    cells = [F.struct(F.lit(i).alias("pair"), _quoted(a).cast("double").alias("x"), _quoted(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
+    one = df.select(F.inline(F.array(*cells))) if len(cells) > 1 else df.select(cells[0].alias("c")).select("c.*")
+    points = materialize(one.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
+    cuts = rank_cuts(points, ["pair"], ["x", "y"])
+    ranked = with_average_ranks(points, ["pair"], "x", "w", "y", "rx", cuts=cuts)
+    ranked = with_average_ranks(ranked, ["pair"], "y", "w", "x", "ry", cuts=cuts)
+    size = points.groupBy("pair").agg(F.sum("w").alias("n"))  # a row for each pair of columns
     mid = (F.col("n") + 1) / F.lit(2.0)
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")
-    sums = ranked.groupBy("a", "b").agg(
+    sums = ranked.join(F.broadcast(size), "pair").groupBy("pair").agg(
         F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"), F.max("n").alias("n")
     )
     r = ratio(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    return sums.select("a", "b", clamp_unit(r).alias("r"), "n")
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    return sums.withColumn("_names", F.get(names, F.col("pair"))).select("_names.a", "_names.b", clamp_unit(r).alias("r"), "n")
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:

@@ -86,6 +86,23 @@ def test_spearman_against_pandas(spark):
     assert got["a", "c"] is None
 
 
+def test_rank_correlation_sketches_both_columns_once(spark, monkeypatch):
+    sketched = []
+    monkeypatch.setattr(stats, "rank_cuts", lambda df, keys, values, cuts=ranks.rank_cuts: sketched.append(values) or cuts(df, keys, values))
+    monkeypatch.setattr(ranks, "rank_cuts", None)
+    df = spark.createDataFrame([(float(i % 7), float(i * i % 50)) for i in range(300)], "a double, b double")
+    want = df.toPandas().rank().corr().loc["a", "b"]
+    assert stats.corr_pairs(df, ["a", "b"], "spearman").first()["r"] == pytest.approx(want)
+    assert sketched == [["x", "y"]]
+
+
+def test_place_among_cut_points(spark):
+    cuts = [1.0, 2.0, 2.0, 2.0, 5.0]
+    rows = spark.createDataFrame([(v, cuts) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 9.0)], "v double, _cuts array<double>")
+    got = rows.select("v", ranks._range_of("v", 64).alias("reached"), ranks._range_of("v", 64, passed=True).alias("passed")).collect()
+    assert {(r["reached"], r["passed"]) == (np.searchsorted(cuts, r["v"], "right"), np.searchsorted(cuts, r["v"], "left")) for r in got} == {True}
+
+
 def test_ranks_of_a_hot_value(spark):
     import pandas as pd
 
