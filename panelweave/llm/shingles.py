@@ -24,6 +24,11 @@ class _Memo(dict):
 _MEMO = _Memo()
 
 
+def forget() -> None:
+    """Frees the word hashes that this worker keeps."""
+    _MEMO.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit numbers one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -8,6 +8,8 @@ import sys
 from array import array
 from functools import cache
 
+from panelweave.llm.shingles import forget
+
 #: Pieces whose ids a worker keeps; the table starts anew when it is full.
 MEMO_PIECES = 400_000
 
@@ -121,6 +123,11 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process. Workers outlive a stage, so word hashes of one before are freed."""
+    forget()
+    return _encoder(path)

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from panelweave.llm import shingles
 from panelweave.llm.token_counts import count_ids, resynchronised_ids, token_counts
 from panelweave.llm.tokens import encoder, load
 
@@ -71,3 +72,10 @@ def test_edge_rows(spark):
     got = sorted((tuple(r) for r in out.collect()), key=str)
     assert got == sorted([(1, 0, 0, False), (2, 0, 0, False), (3, 15000, 3000, True), (3, 15000, 3000, True), (None, 2, len(plain("é")), False)], key=str)
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_a_worker_frees_its_word_hashes_for_the_encoder():
+    shingles.shingle_set("hashes of words")
+    assert shingles._MEMO
+    encoder(PATH)
+    assert not shingles._MEMO
