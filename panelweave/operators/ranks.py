@@ -39,7 +39,7 @@ WIDEN = 16
 def _range_of(value: str, ranges: int, passed: bool = False) -> Column:
     """How many of the sorted ``_cuts``, fewer than ``ranges``, a value has reached or, if ``passed``, left behind.
 
-    A binary search in a loop: the same comparisons written out are too large a method for the JVM to compile.
+    A binary search in a loop keeps the expression small, whatever the number of ranges.
     """
     steps = [1 << k for k in reversed(range((ranges - 1).bit_length()))]
     v = F.col(f"`{value}`")
