@@ -127,14 +127,14 @@ def _profile(s: np.ndarray) -> np.ndarray:
     size = PROFILE
     while size * PROFILE_SHINGLES < len(s):
         size *= 2
-    return np.minimum(np.bincount((s >> _U(32)).astype(np.int64) % size, minlength=size), 32767).astype(np.int16)
+    return np.minimum(np.bincount((s >> _U(32)).astype(np.int64) % size, minlength=size), 127).astype(np.int8)
 
 
 #: Entries as blobs: four bytes of each signature, eight of each class key. Other rows describe documents.
-PACKED = "part long, signatures binary, keys binary, common boolean, doc_id long, body long, n long, key long, profile array<smallint>"
+PACKED = "part long, signatures binary, keys binary, common boolean, doc_id long, body long, n long, key long, profile array<tinyint>"
 PACKED_SCHEMA = pa.schema(
     [("part", pa.int64()), ("signatures", pa.binary()), ("keys", pa.binary()), ("common", pa.bool_()), ("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("key", pa.int64())]
-    + [("profile", pa.list_(pa.int16()))]
+    + [("profile", pa.list_(pa.int8()))]
 )
 
 
@@ -198,10 +198,10 @@ def _common_segments(docs: DataFrame, count: int, size: int) -> np.ndarray:
     return np.sort(top["signature"].to_numpy(dtype=np.int64).view(_U))
 
 
-FOUND = "bucket long, members array<long>, weight long, long boolean, doc_id long, body long, n long, key long, profile array<smallint>"
+FOUND = "bucket long, members array<long>, weight long, long boolean, doc_id long, body long, n long, key long, profile array<tinyint>"
 FOUND_SCHEMA = pa.schema(
     [("bucket", pa.int64()), ("members", pa.list_(pa.int64())), ("weight", pa.int64()), ("long", pa.bool_()), ("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("key", pa.int64())]
-    + [("profile", pa.list_(pa.int16()))]
+    + [("profile", pa.list_(pa.int8()))]
 )
 BUCKET = ["bucket", "members", "weight", "long"]
 ABOUT = ["doc_id", "body", "n", "key", "profile"]
@@ -296,7 +296,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def folded(p: str, q: str) -> Column:
         """The counts of the first in as many numbers as the second has, where it has twice as many."""
         half = F.size(q)
-        return F.when(F.size(p) > half, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda a, b: (a + b).cast("int"))).otherwise(F.col(p).cast("array<int>"))
+        return F.when(F.size(p) > half, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda a, b: a.cast("int") + b.cast("int"))).otherwise(F.col(p).cast("array<int>"))
 
     apart = F.aggregate(F.zip_with(folded("p", "q"), folded("q", "p"), lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d)
     held = pairs.join(x, "a").join(y, "b")

