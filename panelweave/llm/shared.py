@@ -36,7 +36,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def numbered(written: DataFrame, name: str = "row_no") -> DataFrame:
     """``written``, as ``materialize`` returned it, with rows numbered from 0 in the order of its files.
 
-    What the driver gets is one count for each file, as many as tasks wrote.
+    What the driver gets is one count for each file, as many as tasks wrote. These few rows go to every
+    task; their size is not known to the optimizer, which would else shuffle ``written`` to meet them.
     """
     name_of, place_of, start_of = (free_name(written, n) for n in ("file", "place", "start"))
     file = F.col("_metadata.file_name")
@@ -48,7 +49,7 @@ def numbered(written: DataFrame, name: str = "row_no") -> DataFrame:
     first = written.sparkSession.createDataFrame(starts, f"{name_of} string, {start_of} long")
     placed = written.select("*", file.alias(name_of), F.col("_metadata.row_index").alias(place_of))
     own = [F.col(f"`{c}`") for c in written.columns]
-    return placed.join(first, name_of).select(*own, (F.col(start_of) + F.col(place_of)).alias(name))
+    return placed.join(F.broadcast(first), name_of).select(*own, (F.col(start_of) + F.col(place_of)).alias(name))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

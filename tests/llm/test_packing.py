@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelweave.llm.packing import pack, sum_of_squares, token_pieces
+from panelweave.llm.shared import numbered
 from panelweave.llm.tokens import load
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -87,3 +88,15 @@ def test_clashing_columns(spark):
             assert offset == at
             at += length
         assert at <= 1000
+
+
+def test_rows_are_not_shuffled_to_be_numbered(spark, tmp_path):
+    spark.range(1000).repartition(5).write.parquet(str(tmp_path / "rows"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")  # less than the rows take
+    try:
+        rows = numbered(spark.read.parquet(str(tmp_path / "rows")))
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.row_no for r in rows.collect()) == [*range(1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
