@@ -95,13 +95,11 @@ def _signatures(s: np.ndarray, band: int, segments: int, needed: int, common: np
     3. Otherwise these and the first ``needed`` segments, common or not; two sets of this case agree in
        one of them. Is that more than there are, all shingles too: similar sets share one.
     """
-    segment = (s >> _U(17)) % _U(segments)
-    order = np.argsort(segment, kind="stable")
-    segment, tokens = segment[order], mix(s[order])
+    segment, tokens = ((s >> _U(32)) * _U(segments)) >> _U(32), mix(s)  # of sorted shingles the segments are sorted too
     start = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
     sums = np.add.reduceat(tokens, start)
-    place = mix(segment + _U(band << 40))
-    exact = mix(sums ^ place[start])
+    place = mix(segment[start] + _U(band << 40))
+    exact = mix(sums ^ place)
     if every:
         return exact
     common_ = _common(exact, common)
@@ -111,7 +109,7 @@ def _signatures(s: np.ndarray, band: int, segments: int, needed: int, common: np
         return exact[:cut][~common_[:cut]]
     size = np.diff(np.r_[start, len(s)])
     owner = np.repeat(np.arange(len(start)), size)
-    less = mix((sums[owner] - tokens) ^ place)
+    less = mix((sums[owner] - tokens) ^ place[owner])
     usable = (size[owner] > 1) & ~_common(less, common)
     twice = ~common_ & (np.bincount(owner, weights=~usable, minlength=len(start)) == 0)
     out = [exact[~common_], less[usable]]
@@ -263,19 +261,27 @@ def _indexed(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
 
 def _buckets(signatures: np.ndarray, keys: np.ndarray, often: bool) -> pa.Table:
     """Rows of at most ``CHUNK`` members and their head; a bucket of several rows, or of several parts, is long."""
+    if not often:  # most signatures have one holder
+        order = np.argsort(signatures)
+        same = signatures[order[1:]] == signatures[order[:-1]]
+        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+        signatures, keys = signatures[order], keys[order]
     rank = mix(keys.view(_U))  # the same order of sets in all buckets
     order = np.lexsort((rank, signatures))
     signatures, keys, rank = signatures[order], keys[order], rank[order]
-    new = np.r_[True, (signatures[1:] != signatures[:-1]) | (keys[1:] != keys[:-1])]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (signatures[1:] != signatures[:-1]) | (keys[1:] != keys[:-1])
     signatures, keys, rank = signatures[new], keys[new], rank[new]
-    start = np.flatnonzero(np.r_[True, signatures[1:] != signatures[:-1]])
+    start = np.flatnonzero(np.r_[True, signatures[1:] != signatures[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.r_[start, len(keys)])
     some = np.flatnonzero(size > (0 if often else 1))  # of a spread bucket the rest lies in other parts
     if often or not len(some):
         first, weight = np.arange(len(some)), np.ones(len(some), dtype=np.int64)
     else:
-        alike = np.stack([np.add.reduceat(mix(rank), start)[some], size[some].astype(_U)])
-        _, first, weight = np.unique(alike, axis=1, return_index=True, return_counts=True)
+        sums, sizes = np.add.reduceat(mix(rank), start)[some], size[some]
+        order = np.lexsort((sizes, sums))
+        begin = np.flatnonzero(np.r_[True, (sums[order[1:]] != sums[order[:-1]]) | (sizes[order[1:]] != sizes[order[:-1]])])
+        first, weight = order[begin], np.diff(np.r_[begin, len(order)])
     out = []
     for k, w in zip(some[first], weight, strict=True):
         members = keys[start[k] : start[k] + size[k]]
