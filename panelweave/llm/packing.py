@@ -90,6 +90,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def _packer(base: int, capacity: int, well_filled: float):
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row", ascending=False, ignore_index=True)  # of equal lengths the last row is placed first
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
         rows = rows.drop(columns="block")
         rows["sequence_id"], rows["offset"] = base + (int(key[0]) << 32) + sequence, offset

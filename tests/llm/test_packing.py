@@ -2,13 +2,14 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.llm.packing import pack, sum_of_squares, token_pieces
+from panelweave.llm.packing import _packer, pack, sum_of_squares, token_pieces
 from panelweave.llm.shared import numbered
 from panelweave.llm.tokens import load
 
@@ -100,3 +101,10 @@ def test_rows_are_not_shuffled_to_be_numbered(spark, tmp_path):
         assert sorted(r.row_no for r in rows.collect()) == [*range(1000)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_places_do_not_depend_on_the_order_in_which_rows_arrive():
+    rows = pd.DataFrame({"row": range(60), "length": [300 + i % 3 for i in range(60)], "block": 0})
+    mixed = rows.sample(frac=1, random_state=1)
+    got, want = (_packer(0, 1000, 0.9)((0,), x).sort_values("row", ignore_index=True) for x in (mixed, rows))
+    pd.testing.assert_frame_equal(got, want)
