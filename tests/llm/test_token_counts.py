@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from panelweave.llm import shingles
 from panelweave.llm.token_counts import count_ids, resynchronised_ids, token_counts
-from panelweave.llm.tokens import encoder, load
+from panelweave.llm.tokens import Encoder, encoder, load
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,20 @@ def test_each_letter_at_every_place_of_a_word():
     assert np.frombuffer(encoder(PATH).encode([text])[0], dtype="<u4").tolist() == plain(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["don't", "I'LL", "'s", "''re", "a'b", "’tis", "<b>", "x<|y", "ÀÉ'd", "5'6", "word,", "\t", " ", "\n", "e\u0301", "é"]), max_size=12))
+def test_plain_stretches_beside_odd_pieces(parts):
+    for text in (" ".join(parts), "".join(parts)):
+        assert np.frombuffer(encoder(PATH).encode([text])[0], dtype="<u4").tolist() == plain(text)
+
+
+def test_plain_text_is_learned_by_its_runs_and_only_odd_pieces_by_the_whole_chain():
+    enc = Encoder(PATH)
+    text = "word, Word. word! ’word don't word\n"
+    assert np.frombuffer(enc.encode([text])[0], dtype="<u4").tolist() == plain(text)
+    assert set(enc.memo) == {"’word"} and set(enc.runs) == {"word", ",", ".", "!", "don", "'t"}
+
+
 def plain(text, tokenizer=PLAIN):
     return tokenizer.encode(text, add_special_tokens=False).ids
 
