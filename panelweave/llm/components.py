@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.session import materialize
+from panelweave.session import materialize, materialize_counted
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def components(links: DataFrame) -> DataFrame:
         # The label's own label, and the smallest label that any node of this label sees.
         seen = label.join(around.withColumnRenamed("a", "node"), "node").select("node", "component", F.least("component", "near").alias("low"))
         roots = seen.groupBy("component").agg(F.min("low").alias("root"))
-        next_ = materialize(seen.join(roots, "component").select("node", F.col("component").alias("old"), F.least("low", "root").alias("component")), "labels")
-        if next_.filter("old <> component").isEmpty():
+        next_ = seen.join(roots, "component").select("node", F.col("component").alias("old"), F.least("low", "root").alias("component"))
+        next_, changed = materialize_counted(next_, "labels", F.col("old") != F.col("component"))
+        if not changed:
             return next_.select("node", "component")
         label = next_.select("node", "component")
 

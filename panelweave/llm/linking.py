@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.components import components, extended
-from panelweave.session import materialize
+from panelweave.session import materialize, materialize_counted
 
 #: Members up to which a list is one row.
 SMALL_LIST = 32
@@ -79,8 +79,8 @@ def first_row():
 
 def _texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """key and text of the classes in ``wanted`` (key)."""
-    chosen = materialize(classes.join(wanted, "key").select("key", F.col("first.doc_id").alias("id"), F.col("first.body").alias("its")), "chosen")
-    if chosen.count() <= BROADCAST_KEYS:
+    chosen, n = materialize_counted(classes.join(wanted, "key").select("key", F.col("first.doc_id").alias("id"), F.col("first.body").alias("its")), "chosen")
+    if n <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("its"))).select("key", "text")
     return texts.dropDuplicates(["key"]) if repeated else texts
@@ -237,11 +237,11 @@ def links(
     """
 
     def test(pairs: DataFrame) -> DataFrame | None:
-        held = materialize(likely(pairs), "likely")
-        if held.isEmpty():
+        held, n = materialize_counted(likely(pairs), "likely")
+        if not n:
             return None
-        met = materialize(verified(held, docs, classes, measure, repeated), "links")
-        return None if met.isEmpty() else met
+        met, n = materialize_counted(verified(held, docs, classes, measure, repeated), "links")
+        return met if n else None
 
     best = agreeing.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a"))
     tested = materialize(_sides(best.select("a", "b")), "tested")
@@ -258,25 +258,25 @@ def links(
     rows = materialize(labelled(short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key"))), "short")
     left = labelled(long)
     open_keys = rows.join(several(rows, "row"), "row").select("key").union(left.join(several(left), "bucket").select("key"))
-    crowd = materialize(open_keys.distinct().join(classes.select("key", "n"), "key"), "crowd")
-    if crowd.isEmpty():
+    crowd, n = materialize_counted(open_keys.distinct().join(classes.select("key", "n"), "key"), "crowd")
+    if not n:
         return label
     crowd = materialize(_in_company(crowd, _texts(crowd.select("key"), docs, classes, repeated), measure), "company")
     listed = _by_rare_elements(_sets(_texts(crowd, docs, classes, repeated), measure), percent)
-    enough = ROUND_PAIRS * max(1, classes.count())
+    members = max(1, classes.count())
     low = 0
     while True:
         left = labelled(listed)  # classes of lower ranks have met all others
         open_ = materialize(left.filter(F.col("rank") >= low).join(several(left), "bucket"), "open")
-        high, more = _next_rank(open_, low, enough)
+        high, more = _next_rank(open_, low, ROUND_PAIRS * members, members)
         if not more:
             return label
         x, y = open_.filter(F.col("rank") < high).alias("x"), open_.alias("y")
         meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.label") != F.col("y.label"))
         pairs = x.join(y, meet & _may_be_similar("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         new = _sides(pairs).dropDuplicates(["low", "high"])
-        new = materialize(new.join(tested.select("low", "high"), ["low", "high"], "left_anti").select("a", "b", "low", "high"), "more")
-        met = test(new.select("a", "b"))
+        new, n = materialize_counted(new.join(tested.select("low", "high"), ["low", "high"], "left_anti").select("a", "b", "low", "high"), "more")
+        met = test(new.select("a", "b")) if n else None
         if met is not None:
             label = extended(label, met)
         if more == "last":
@@ -284,17 +284,20 @@ def links(
         tested, low = tested.unionByName(new), high
 
 
-def _next_rank(open_: DataFrame, low: int, enough: int) -> tuple[int, str]:
+def _next_rank(open_: DataFrame, low: int, enough: int, few: int = 0) -> tuple[int, str]:
     """Rank below which members lead the next round, and "some" or "last" if that leaves some or none, "" if no list is open.
 
     It is 1, then LEADERS, then GROWTH times ``low``, or after the first as many times more as give no more than ``enough`` pairs.
+    In the first round too it is above all ranks if all pairs are no more than ``few``.
     """
     start = max(LEADERS, GROWTH * low) if low else 1
     steps = [start * GROWTH**k for k in range(16 if low else 1)]
     ranks = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *[F.count_if(F.col("rank") < h).alias(f"lead{k}") for k, h in enumerate(steps)], F.max("rank").alias("top"))
-    costs = ranks.agg(F.max("top").alias("top"), *[F.sum(F.col("members") * F.col(f"lead{k}")).alias(f"pairs{k}") for k in range(len(steps))]).first()
+    costs = ranks.agg(F.max("top").alias("top"), F.sum(F.col("members") * F.col("members")).alias("pairs"), *[F.sum(F.col("members") * F.col(f"lead{k}")).alias(f"pairs{k}") for k in range(len(steps))]).first()
     if costs["top"] is None:
         return low, ""
+    if not low and costs["pairs"] <= few:
+        return costs["top"] + 1, "last"
     high = max([start, *[h for k, h in enumerate(steps) if costs[f"pairs{k}"] <= enough]])
     return high, "last" if costs["top"] < high else "some"
 

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "panelweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,3 +59,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str = "stage", which: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows written, or of those where ``which`` holds, without another job.
+
+    Each job leaves its plan, stages and broadcasts in the driver's memory for a while, so a loop
+    of small steps is lighter without one for each count. A task that ran twice may count twice; 0 is exact.
+    """
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("rows")), name)
+    return out, seen.get["rows"]
