@@ -73,6 +73,7 @@ def _boundary(text: str, left: _Chunk, right: _Chunk) -> tuple[int, int] | None:
 def resynchronised_ids(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[np.ndarray]:
     """Ids of the whole text in runs, from chunks of about ``chunk`` characters."""
     size = len(text)
+    chunk = max([chunk, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])  # one of two chunks holds a special string whole
     left, begin = _Chunk(tokenizer, text, 0, min(size, chunk)), 0
     while left.end < size:
         width, cut = overlap, None
