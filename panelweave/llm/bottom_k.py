@@ -92,6 +92,21 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(made, "doc_id long, body long, n long, key long, sketch array<long>")
 
 
+def _retained(sketches: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
+    """The values that each set is listed under; ``common`` is sorted, and searched once for all sets."""
+    if not len(common):
+        return [sketch[:LISTED] for sketch in sketches]
+    whole = np.concatenate(sketches)
+    uncommon = common[np.minimum(np.searchsorted(common, whole), len(common) - 1)] != whole
+    out, at = [], 0
+    for sketch in sketches:
+        rare = sketch[uncommon[at : at + len(sketch)]]
+        at += len(sketch)
+        few = len(rare) < min(LISTED, len(sketch))
+        out.append(np.unique(np.concatenate([rare, sketch[:LISTED]])) if few else rare[:LISTED])
+    return out
+
+
 def _listed(classes: DataFrame) -> DataFrame:
     """(value, key) of the inverted lists."""
     values = classes.select(F.explode("sketch").alias("value"))
@@ -101,14 +116,8 @@ def _listed(classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def chosen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        common = shared.value
         for batch in batches:
-            out = []
-            for sketch in batch:
-                rare = sketch[~np.isin(sketch, common)] if len(common) else sketch
-                few = len(rare) < min(LISTED, len(sketch))
-                out.append(np.unique(np.concatenate([rare, sketch[:LISTED]])) if few else rare[:LISTED])
-            yield pd.Series(out)
+            yield pd.Series(_retained(batch.tolist(), shared.value), dtype=object)
 
     return classes.select("key", F.explode(chosen("sketch")).alias("value"))
 
@@ -128,6 +137,19 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return held.filter(estimated("x", "m", "y", "n")).select("a", "b")
 
 
+def _promising(crowd: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes of ``crowd`` (key, label, n) that may have a pair with another label that the estimate leaves.
+
+    Such a pair shares ``least_shared`` of its union sketch, which is no smaller than either sketch; so
+    a class is dropped that has fewer values which the sketch of a class with another label has.
+    """
+    held = crowd.select("key", "label").join(classes.select("key", "sketch"), "key")
+    size = F.least("n", F.lit(SKETCH))
+    alone = linking.elements_alone(held, "sketch", lambda sketch: np.array(sketch, dtype=np.int64).view(np.uint64), crowd.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+    least = F.array(*[F.lit(least_shared(k)) for k in range(SKETCH + 1)])
+    return crowd.join(alone, "key", "left").filter(size - F.coalesce("alone", F.lit(0)) >= F.get(least, size.cast("int"))).select(*crowd.columns)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -154,7 +176,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     is_short = F.col("size") <= linking.SMALL_LIST
     short = member.filter(is_short).groupBy("value").agg(F.array_sort(F.collect_list("key")).alias("members")).select("members").distinct()
     long = member.filter(~is_short).select(F.col("value").alias("bucket"), "key")
-    label = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated)
+    label = linking.links(docs, classes, agreeing, short, long, lambda pairs: _likely(pairs, classes), MEASURE, repeated, lambda crowd: _promising(crowd, classes))
     out = linking.component_rows(rows, classes, label)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

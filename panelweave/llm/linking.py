@@ -2,8 +2,8 @@
 
 A class is the documents with one and the same set, named by a hash of it. Candidates are lists of
 classes that agree in something. First every class meets the one it agrees most with. Classes in lists
-that still hold several components go on: those are dropped that hold too much that none of the others
-has (``_in_company``), the rest are dealt anew by their rarest elements (``_by_rare_elements``), and meet
+that still hold several components go on if their sizes allow a link: those are dropped that hold too
+much that no other component has (``_in_company``), the rest are dealt anew by their rarest elements (``_by_rare_elements``), and meet
 some leaders at a time, until no untested pair of different components is left in any list. Tests run
 over whole sets: members are routed to their leader, whose text travels once for each run of members,
 and a task streams them.
@@ -78,11 +78,11 @@ def first_row():
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """key and text of the classes in ``wanted`` (key)."""
-    chosen = materialize(classes.join(wanted, "key").select("key", F.col("first.doc_id").alias("id"), F.col("first.body").alias("its")), "chosen")
+    """``wanted`` (key and what goes with it) and the text of each of its classes."""
+    chosen = materialize(wanted.join(classes, "key").select(*wanted.columns, F.col("first.doc_id").alias("id"), F.col("first.body").alias("its")), "chosen")
     if chosen.count() <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("its"))).select("key", "text")
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("its"))).select(*wanted.columns, "text")
     return texts.dropDuplicates(["key"]) if repeated else texts
 
 
@@ -115,95 +115,130 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
 
 
 def _in_company(crowd: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """The classes of ``crowd`` (key, n; ``texts`` has theirs) that others of it may be similar to.
+    """key and label of the classes of ``crowd`` (key, label, n; ``texts`` has key, label and text) that others with another label may be similar to.
 
     Similar sets share ``percent`` of 100 elements of either, so a class is dropped that has fewer which
-    another holds. Elements travel as four bytes beside runs of their classes; two of equal bytes count
-    as one that is shared, which drops fewer.
+    a class of another component holds. Elements travel as four bytes beside runs of their classes; two
+    of equal bytes count as one that is shared, which drops fewer.
     """
     percent = measure.similar.percent
-    parts = max(1, -(-crowd.agg(F.sum("n")).first()[0] // PART_ELEMENTS))
-    u = np.uint64
-
-    def packed(sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-        whole = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        part = (whole % u(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)  # short numbers sort faster
-        order = np.argsort(part, kind="stable")
-        part, owner, four = part[order], owner[order], (whole[order] >> u(32)).astype("<u4")
-        runs = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
-        ends = np.r_[runs[1:], len(whole)]
-        named, sizes = np.array(keys, dtype=np.int64)[owner[runs]], (ends - runs).astype("<u4")
-        rows = []
-        for p in np.unique(part):
-            a, b = np.searchsorted(part[runs], [p, p + 1])
-            rows.append((int(p), four[runs[a] : ends[b - 1]].tobytes(), named[a:b].tobytes(), sizes[a:b].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "elements", "keys", "sizes"])
+    crowd = _with_label(crowd)
+    alone = elements_alone(_with_label(texts), "text", measure.set_of, crowd.agg(F.sum("n")).first()[0])
+    return crowd.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("key", "label")
 
+
+def elements_alone(held: DataFrame, column: str, set_of: Callable[..., np.ndarray], elements: int) -> DataFrame:
+    """key and alone, how many elements no class with another label holds, of ``held`` (key, label, ``column`` that ``set_of`` takes); none has no row."""
+    parts = max(1, -(-elements // PART_ELEMENTS))
+    sent = held.select("key", "label", column).mapInArrow(_dealer(set_of, parts), "part long, elements binary, keys binary, labels binary, sizes binary")
+    counted = sent.groupBy("part").applyInArrow(lambda rows: _alone(rows, parts), "part long, keys binary, alone binary")
+    return counted.groupBy("part").applyInArrow(_summed, "key long, alone long")
+
+
+def _with_label(classes: DataFrame) -> DataFrame:
+    """``classes`` with a label; without one each is a component of its own."""
+    return classes if "label" in classes.columns else classes.withColumn("label", F.col("key"))
+
+
+def _stretches(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of equal numbers start and end."""
+    if not len(sorted_):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    return start, np.r_[start[1:], len(sorted_)]
+
+
+def _short_numbers(part: np.ndarray, parts: int) -> np.ndarray:
+    return part.astype(np.uint16 if parts < 1 << 16 else np.int64)  # these sort faster
+
+
+def _packed(sets: list[np.ndarray], keys: list[int], labels: list[int], parts: int) -> pa.RecordBatch:
+    """One row for each part that has elements: their bytes, and key, key xor label (mostly 0) and size of each run of a class."""
+    whole = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    part = _short_numbers(whole % np.uint64(parts), parts)
+    order = np.argsort(part, kind="stable")
+    part, owner, four = part[order], owner[order], (whole[order] >> np.uint64(32)).astype("<u4")
+    runs = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
+    ends = np.r_[runs[1:], len(whole)]
+    key = np.array(keys, dtype="<i8")
+    named, other, sizes = key[owner[runs]], (key ^ np.array(labels, dtype="<i8"))[owner[runs]], (ends - runs).astype("<u4")
+    of = part[runs]
+    rows = [(int(of[a]), four[runs[a] : ends[b - 1]].tobytes(), named[a:b].tobytes(), other[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(*_stretches(of), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "elements", "keys", "labels", "sizes"])
+
+
+def _dealer(set_of: Callable[..., np.ndarray], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, keys, held = [], [], 0
+        sets, keys, labels, held = [], [], [], 0
         for batch in batches:
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                s = measure.set_of(text)
+            for key, label, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = set_of(value)
                 if len(s):
                     sets.append(s)
                     keys.append(key)
+                    labels.append(label)
                     held += len(s)
             if held >= SENT_ELEMENTS:
-                yield packed(sets, keys)
-                sets, keys, held = [], [], 0
+                yield _packed(sets, keys, labels, parts)
+                sets, keys, labels, held = [], [], [], 0
         if held:
-            yield packed(sets, keys)
-
-    def numbers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(rows[column].to_pylist()), dtype=kind)
-
-    def counted(rows: pa.Table) -> pa.Table:
-        elements = numbers(rows, "elements", "<u4")
-        order = np.argsort(elements, kind="stable")
-        elements = elements[order]
-        new = np.r_[True, elements[1:] != elements[:-1]]
-        single = np.zeros(len(order), dtype=bool)
-        single[order[new & np.r_[new[1:], True]]] = True
-        alone = np.add.reduceat(single, np.r_[0, np.cumsum(numbers(rows, "sizes", "<u4"), dtype=np.int64)[:-1]], dtype=np.int64)
-        keys, some = numbers(rows, "keys", "<i8"), alone > 0
-        keys, alone = keys[some], alone[some]
-        home = keys % parts
-        sent = [(int(p), keys[home == p].tobytes(), alone[home == p].astype("<u4").tobytes()) for p in np.unique(home)]
-        return pa.table({"part": pa.array([r[0] for r in sent], pa.int64()), "keys": pa.array([r[1] for r in sent], pa.binary()), "alone": pa.array([r[2] for r in sent], pa.binary())})
-
-    def summed(rows: pa.Table) -> pa.Table:
-        key, at = np.unique(numbers(rows, "keys", "<i8"), return_inverse=True)
-        return pa.table({"key": key, "alone": np.bincount(at, weights=numbers(rows, "alone", "<u4"), minlength=len(key)).astype(np.int64)})
-
-    sent = texts.mapInArrow(dealt, "part long, elements binary, keys binary, sizes binary")
-    alone = sent.groupBy("part").applyInArrow(counted, "part long, keys binary, alone binary").groupBy("part").applyInArrow(summed, "key long, alone long")
-    return crowd.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("key")
+            yield _packed(sets, keys, labels, parts)
+
+    return dealt
+
+
+def _numbers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[column].to_pylist()), dtype=kind)
+
+
+def _alone(rows: pa.Table, parts: int) -> pa.Table:
+    """Of a part's ``_packed`` rows: for each part that sums up classes their keys, and how many elements here only their component holds."""
+    elements, keys, sizes = _numbers(rows, "elements", "<u4"), _numbers(rows, "keys", "<i8"), _numbers(rows, "sizes", "<u4")
+    order = np.argsort(elements, kind="stable")
+    elements, label = elements[order], np.repeat(keys ^ _numbers(rows, "labels", "<i8"), sizes)[order]
+    start, end = _stretches(elements)
+    other = np.r_[False, (elements[1:] == elements[:-1]) & (label[1:] != label[:-1])]
+    single = np.empty(len(order), dtype=bool)
+    single[order] = np.repeat(~np.logical_or.reduceat(other, start), end - start)
+    alone = np.add.reduceat(single, np.r_[0, np.cumsum(sizes, dtype=np.int64)[:-1]], dtype=np.int64)
+    some = alone > 0
+    keys, alone = keys[some], alone[some].astype("<u4")
+    home = _short_numbers(keys % parts, parts)
+    order = np.argsort(home, kind="stable")
+    home, keys, alone = home[order], keys[order], alone[order]
+    sent = [(int(home[a]), keys[a:b].tobytes(), alone[a:b].tobytes()) for a, b in zip(*_stretches(home), strict=True)]
+    return pa.table({"part": pa.array([r[0] for r in sent], pa.int64()), "keys": pa.array([r[1] for r in sent], pa.binary()), "alone": pa.array([r[2] for r in sent], pa.binary())})
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    key, at = np.unique(_numbers(rows, "keys", "<i8"), return_inverse=True)
+    return pa.table({"key": key, "alone": np.bincount(at, weights=_numbers(rows, "alone", "<u4"), minlength=len(key)).astype(np.int64)})
 
 
 def _sets(texts: DataFrame, measure: Measure) -> DataFrame:
-    """key, n and elements (the set) of ``texts`` (key, text)."""
+    """key, label, n and elements (the set) of ``texts`` (key, label, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [measure.set_of(text) for text in batch["text"].to_pylist()]
             numbers = [pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["key"], *numbers], ["key", "n", "elements"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], *numbers], ["key", "label", "n", "elements"])
 
-    return texts.mapInArrow(made, "key long, n long, elements array<long>")
+    return texts.mapInArrow(made, "key long, label long, n long, elements array<long>")
 
 
 def _by_rare_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """Lists that hold every similar pair of ``sets`` (key, n, elements): bucket, key, n, alone, rank and parity words.
+    """Lists that hold every similar pair of ``sets`` (key, label, n, elements) with different labels: bucket, key, n, alone, rank and parity words.
 
     Similar sets share ``percent`` of 100 elements of either. Each class is listed under so many of its
     rarest elements that what is left is less than that share; in one order of all elements two similar
-    sets meet there. Elements of one class only come first and make no list. ``alone`` is
-    the number of elements that no other class holds, each parity bit says whether the shared ones with
-    one hash are odd in number. The class with the smallest part alone has rank 0 in a list.
+    sets meet there. Elements of one component only (label) come first and make no list. ``alone`` is
+    the number of elements that no class of another component holds, each parity bit says whether the
+    other ones with one hash are odd in number. The class with the smallest part alone has rank 0 in a list.
     """
-    held = materialize(sets.select("key", "n", F.explode("elements").alias("element")), "elements")
-    holders = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    held = materialize(sets.select("key", "label", "n", F.explode("elements").alias("element")), "elements")
+    holders = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders"), F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("element", "holders")
     bit = F.pmod(F.shiftright("element", 20), F.lit(64 * PARITY))
     words = [F.bit_xor(F.when(F.floor(bit / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(0)).alias(f"bits{w}") for w in range(PARITY)]
     known = held.join(holders, "element").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "element"))).alias("shared"), *words)
@@ -222,18 +257,28 @@ def _may_be_similar(x: str, y: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+def _with_others(members: str, percent: int) -> Column:
+    """Those of the structs (key, label, n) ``members``, few, that sizes let be similar to one with another label."""
+
+    def may_meet(x: Column, y: Column) -> Column:
+        return (x["label"] != y["label"]) & (100 * x["n"] >= percent * y["n"]) & (100 * y["n"] >= percent * x["n"])
+
+    return F.filter(members, lambda x: F.exists(members, lambda y: may_meet(x, y)))
+
+
 def _sides(df: DataFrame) -> DataFrame:
     return df.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
 
 
 def links(
-    docs: DataFrame, classes: DataFrame, agreeing: DataFrame, short: DataFrame, long: DataFrame, likely: Callable[[DataFrame], DataFrame], measure: Measure, repeated: bool
+    docs: DataFrame, classes: DataFrame, agreeing: DataFrame, short: DataFrame, long: DataFrame, likely: Callable[[DataFrame], DataFrame], measure: Measure, repeated: bool, promising: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """The component (its smallest key) of each class key with a link: node, component.
 
     Links are similar pairs of a list; those tested connect all that similar pairs of any list connect.
     ``agreeing`` has (a, b, weight): what class b agrees in with list heads a. ``short`` has members,
     ``long`` (bucket, key). ``likely`` keeps the pairs that may be similar; ``classes`` has key and first.
+    ``promising`` keeps those of some classes (key, label, n) that have a likely pair among them with another label, and maybe more.
     """
 
     def test(pairs: DataFrame) -> DataFrame | None:
@@ -251,17 +296,21 @@ def links(
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
 
-    def several(members: DataFrame, one: str = "bucket") -> DataFrame:
-        return members.groupBy(one).agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select(one)
+    def several(members: DataFrame) -> DataFrame:
+        return members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
 
     percent = measure.similar.percent
-    rows = materialize(labelled(short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key"))), "short")
+    sizes = classes.select("key", "n")
+    rows = labelled(short.select(F.xxhash64("members").alias("row"), F.explode("members").alias("key"))).join(sizes, "key")
+    lists = rows.groupBy("row").agg(F.collect_list(F.struct("key", "label", "n")).alias("members"), F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest")
     left = labelled(long)
-    open_keys = rows.join(several(rows, "row"), "row").select("key").union(left.join(several(left), "bucket").select("key"))
-    crowd = materialize(open_keys.distinct().join(classes.select("key", "n"), "key"), "crowd")
+    open_keys = lists.select(F.inline(_with_others("members", percent))).select("key", "label").union(left.join(several(left), "bucket").select("key", "label"))
+    crowd = materialize(open_keys.distinct().join(sizes, "key"), "crowd")
+    if promising:
+        crowd = materialize(promising(crowd), "promising")
     if crowd.isEmpty():
         return label
-    crowd = materialize(_in_company(crowd, _texts(crowd.select("key"), docs, classes, repeated), measure), "company")
+    crowd = materialize(_in_company(crowd, _texts(crowd.select("key", "label"), docs, classes, repeated), measure), "company")
     listed = _by_rare_elements(_sets(_texts(crowd, docs, classes, repeated), measure), percent)
     enough = ROUND_PAIRS * max(1, classes.count())
     low = 0

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -90,3 +91,33 @@ def test_a_given_table(spark):
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].kept
+
+
+def test_many_common_values_are_searched_once_for_all_sets():
+    r = np.random.default_rng(2)
+    common = np.unique(r.integers(-(2**63), 2**63 - 1, 200_000))
+    sketches = [np.concatenate([r.choice(common, 64 - k), r.integers(-(2**63), 2**63 - 1, k)])[: r.integers(1, 65)] for k in r.integers(0, 65, 2000)]
+    began = time.process_time()
+    got = bottom_k._retained(sketches, common)
+    assert time.process_time() - began < 5  # a pass over the common values for each set takes a minute
+    known = set(common.tolist())
+    for sketch, values in zip(sketches, got, strict=True):
+        rare = [v for v in sketch.tolist() if v not in known]
+        few = len(rare) < min(bottom_k.LISTED, len(sketch))
+        assert values.tolist() == (sorted({*rare, *sketch[: bottom_k.LISTED].tolist()}) if few else rare[: bottom_k.LISTED])
+    assert [v.tolist() for v in bottom_k._retained(sketches[:3], common[:0])] == [s[: bottom_k.LISTED].tolist() for s in sketches[:3]]
+
+
+def test_promising_classes_have_every_likely_pair(spark):
+    least = [least_shared(k) for k in range(bottom_k.SKETCH + 1)]
+    assert least == sorted(least)
+    texts = corpus() + [" ".join(near(base, rng.randint(0, 9))) for base in [prose(n) for n in (5, 30, 66, 90, 200)] for _ in range(6)]
+    sets = {linking.class_key(s): s for s in map(bottom_k.set_of, texts) if len(s)}
+    label = {k: k if rng.random() < 0.7 else 1 for k in sets}
+    may = lambda a, b: may_be_similar(sets[a][:64], len(sets[a]), sets[b][:64], len(sets[b]))
+    likely = {k for a in sets for b in sets if label[a] != label[b] and may(a, b) for k in (a, b)}
+    crowd = spark.createDataFrame([(k, label[k], len(s)) for k, s in sets.items()], "key long, label long, n long")
+    classes = spark.createDataFrame([(k, s[:64].view(np.int64).tolist()) for k, s in sets.items()], "key long, sketch array<long>")
+    left = {r.key for r in bottom_k._promising(crowd, classes).collect()}
+    assert likely and left >= likely and len(left) < len(sets)
+    assert bottom_k._promising(crowd.limit(0), classes).collect() == []
